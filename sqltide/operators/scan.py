@@ -104,17 +104,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 # --- running values ------------------------------------------------------------------------
 
-def _plain(df: DataFrame, keys, order: str, specs: dict[str, Run]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+def _plain(df: DataFrame, keys, order: str, specs: dict[str, Run], ties=()) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(order, *ties) if keys \
+        else Window.orderBy(order, *ties)
     return df.withColumns({name: run.over(window) for name, run in specs.items()})
 
 
 def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column,
-            widths, only: Column | None = None) -> DataFrame:
+            widths, only: Column | None = None, ties=()) -> DataFrame:
     base = df.withColumn(_PART, part)
-    near = _plain(base, [*keys, _PART], order, specs)
+    near = _plain(base, [*keys, _PART], order, specs, ties)
+    sort_key = F.struct(order, *ties) if ties else F.col(order)
     folded = (base if only is None else base.where(only)).groupBy(*keys, _PART).agg(
-        *[run.fold(F.col(order)).alias(f"__fold_{name}") for name, run in specs.items()])
+        *[run.fold(sort_key).alias(f"__fold_{name}") for name, run in specs.items()])
     carried = {
         f"__far_{name}": Run(run.kind, F.col(f"__fold_{name}"), False)
         for name, run in specs.items()}
@@ -132,24 +134,24 @@ def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column
 
 
 def running(df: DataFrame, keys, order: str, specs: dict[str, Run],
-            hot: str | None = None, width: int = RANGE_WIDTHS[0]) -> DataFrame:
+            hot: str | None = None, width: int = RANGE_WIDTHS[0], ties=()) -> DataFrame:
     """Add running values per key.
 
     ``hot`` names a boolean column that marks rows of hot keys (see ``mark_hot``);
-    without it the plain window is used.
+    without it the plain window is used. ``ties`` are further order columns.
     """
     if hot is None:
-        return _plain(df, keys, order, specs)
+        return _plain(df, keys, order, specs, ties)
     part = F.when(F.col(hot), F.floor(F.col(order) / width)).cast("long")
     return _ranged(cut(df), keys, order, specs, F.coalesce(part, F.lit(-1 << 62)),
-                   (), only=F.col(hot))
+                   (), only=F.col(hot), ties=ties)
 
 
 def running_all(df: DataFrame, order: str, specs: dict[str, Run],
-                widths=RANGE_WIDTHS) -> DataFrame:
+                widths=RANGE_WIDTHS, ties=()) -> DataFrame:
     """Add running values over all rows in ``order``, never through a single task."""
     return _ranged(df, [], order, specs,
-                   F.floor(F.col(order) / widths[0]).cast("long"), widths[1:])
+                   F.floor(F.col(order) / widths[0]).cast("long"), widths[1:], ties=ties)
 
 
 def find_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -175,10 +177,12 @@ def mark_hot(df: DataFrame, keys, hot: DataFrame | None) -> tuple[DataFrame, str
 
 
 def running_by(df: DataFrame, keys, order: str, specs: dict[str, Run],
-               hot_rows: int = HOT_ROWS, width: int = RANGE_WIDTHS[0]) -> DataFrame:
+               hot_rows: int = HOT_ROWS, width: int = RANGE_WIDTHS[0],
+               ties=()) -> DataFrame:
     """``mark_hot`` and ``running`` in one step."""
     marked, hot = mark_hot(df, keys, find_hot(df, keys, hot_rows))
-    return running(marked, keys, order, specs, hot, width).select(*df.columns, *specs)
+    return running(marked, keys, order, specs, hot, width, ties) \
+        .select(*df.columns, *specs)
 
 
 # --- ends of an order ------------------------------------------------------------------------
