@@ -64,8 +64,9 @@ def _kind(*types: str) -> Column:
     return F.col("msg_type").isin(*types)
 
 
-def _text_rows(messages: DataFrame, opts: SessionOptions) -> DataFrame:
-    """Narrow rows with the facts a message shows by itself."""
+def text_rows(messages: DataFrame, opts: SessionOptions,
+              keep_chunk: bool = False) -> DataFrame:
+    """Rows with the facts a message shows by itself; narrow unless chunks are kept."""
     carries_sql = _kind("Q", "P") if opts.extended_query else _kind("Q")
     length = F.octet_length("sql")
     fits = F.coalesce(length <= opts.max_sql_length, F.lit(True)) \
@@ -76,7 +77,7 @@ def _text_rows(messages: DataFrame, opts: SessionOptions) -> DataFrame:
         "param_oids", "param_formats", "param_values",
         F.octet_length("chunk").cast("long").alias("chunk_bytes"),
         F.when(carries_sql & fits, F.col("sql")).alias("sql"),
-        (carries_sql & ~fits).alias("oversized"))
+        (carries_sql & ~fits).alias("oversized"), *(["chunk"] if keep_chunk else []))
     rows = rows.withColumn(
         "text_class", F.when(F.col("sql").isNotNull(), classify_sql(F.col("sql"), opts.builtins)))
     pooled = F.lit(opts.connection_pooler)
@@ -105,7 +106,7 @@ def _with_definitions(rows: DataFrame, opts: SessionOptions, hot) -> DataFrame:
 def annotate(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
     """All messages with the connection state that holds at each of them."""
     hot_conns = scan.find_hot(_complete(messages), CONN, opts.hot_rows)
-    rows, hot = scan.mark_hot(_text_rows(messages, opts), CONN, hot_conns)
+    rows, hot = scan.mark_hot(text_rows(messages, opts), CONN, hot_conns)
     rows = _with_definitions(rows, opts, hot)
 
     def run(df: DataFrame, specs) -> DataFrame:
@@ -204,7 +205,7 @@ def extract_statements(messages: DataFrame, max_sql_length: int = 1 << 20) -> Da
 def statement_definitions(messages: DataFrame,
                           opts: SessionOptions = SessionOptions()) -> DataFrame:
     """Prepared statements with the positions between which each holds."""
-    rows = _text_rows(messages, opts).withColumn("__back", -F.col("pos"))
+    rows = text_rows(messages, opts).withColumn("__back", -F.col("pos"))
     rows = scan.running_by(
         rows.withColumn("__resets", _kind("Q") & F.col("text_reset")), CONN, "__back",
         {"next_reset": scan.latest(F.when(F.col("__resets"), F.col("pos")))},
