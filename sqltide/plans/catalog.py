@@ -111,7 +111,6 @@ def spool_events(spark, sf):
 
 def _broken_records(spark, sf):
     events = table(spark, sf, "sql_events")
-    broken = F.col("db_user").isin("User3", "User4", "User5")
     frames = codec.encode_events(events.withColumn("life", F.lit(0).cast("long")))
     pos = F.get_json_object("value", "$.pos").cast("long")
     user = F.get_json_object("value", "$.db_user")
@@ -472,7 +471,7 @@ def guard_stats(spark, sf):
 
 @query
 def tx_limits(spark, sf):
-    rows = table(spark, sf, "sql_events").select("pos", "ts", (F.crc32("conn_key") % 1 + F.col("pos") % 40).alias("tx_id"))
+    rows = table(spark, sf, "sql_events").select("pos", "ts", (F.col("pos") % 40).alias("tx_id"))
     return guard.tx_limits(rows, 500_000, 12).select("pos", "tx_id", "tx_statements", "tx_guard")
 
 
