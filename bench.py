@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sqltide.functions import sqltext as S
-from sqltide.operators import decide, guard, metrics, sessions
+from sqltide.operators import capture, decide, guard, metrics, sessions
 from sqltide.operators.guard import GuardOptions
 from sqltide.plans import catalog, pipeline, traffic
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 2
+RUNS = 3
 
 
 def line_traffic(spark):
-    """One statement per order line, from the same templates as the event traffic."""
+    """One statement and one message per order line, from the templates of the event traffic."""
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select(
         (F.col("l_orderkey") * 65536 + F.col("l_partkey") % 8192 * 8 + F.col("l_linenumber"))
         .alias("event_id"),
@@ -30,8 +30,8 @@ def line_traffic(spark):
                      (F.col("l_partkey") % 5 + 1).cast("int")).alias("event_type"),
         F.col("l_quantity").alias("value"), F.lit("{}").alias("props"))
     lines.createOrReplaceTempView("bench_lines")
-    return spark.sql(traffic.TABLES["sql_events"].format(
-        **{t: "bench_lines" for t in traffic.GIVEN}))
+    return [spark.sql(traffic.TABLES[name].format(**{t: "bench_lines" for t in traffic.GIVEN}))
+            for name in ("sql_events", "messages")]
 
 
 def main():
@@ -41,11 +41,20 @@ def main():
         .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    statements = line_traffic(spark).repartition(int(CPUS)).persist()
+
+    def spread(df):
+        """The given tables are single small files; a capture is many."""
+        df = df.repartition(int(CPUS)).persist()
+        df.count()
+        return df
+
+    statements, messages = map(spread, line_traffic(spark))
     n_lines = statements.count()
-    events = traffic.table(spark, SF_DIR, "sql_events")
-    messages = catalog.messages(spark, SF_DIR)
-    results = traffic.table(spark, SF_DIR, "line_results")
+    events = spread(traffic.table(spark, SF_DIR, "sql_events"))
+    messages = messages.withColumn("chunk", F.col("chunk").cast("binary"))
+    segments = spread(capture.canonical_conn(traffic.table(spark, SF_DIR, "segments")))
+    documents = spread(traffic.table(spark, SF_DIR, "document_sql"))
+    results = spread(traffic.table(spark, SF_DIR, "line_results"))
     n_events = events.count()
     classed = decide.with_class(statements)
 
@@ -59,15 +68,15 @@ def main():
         "guard_all": (n_lines, lambda: guard.apply_guard(statements, GuardOptions(
             exclude_ddl=True, rewrite_time_functions=True, skip_external_deps=True,
             mask_patterns=catalog.MASKS, exclude_tables=("carts",)))),
-        "sessionise": (n_events, lambda: sessions.annotate(messages)),
-        "message_events": (n_events, lambda: sessions.sql_events(messages)),
-        "plan_replay": (n_events, lambda: pipeline.plan_replay(events)),
-        "order_segments": (n_events, lambda: catalog.order_segments(spark, SF_DIR)),
+        "sessionise": (n_lines, lambda: sessions.annotate(messages)),
+        "message_events": (n_lines, lambda: sessions.sql_events(messages)),
+        "plan_replay": (n_lines, lambda: pipeline.plan_replay(statements)),
+        "order_segments": (n_events, lambda: capture.order_segments(segments)),
         "compare_diff": (n_lines, lambda: metrics.diff_summary(
             metrics.compare_results(results, 3.0), None)),
         "exec_histogram": (n_lines, lambda: metrics.exec_histogram(metrics.exec_times(results))),
         "p99": (n_events, lambda: catalog.p99_nearest_rank(spark, SF_DIR)),
-        "document_masking": (None, lambda: catalog.mask_sql(spark, SF_DIR)),
+        "document_masking": (documents.count(), lambda: guard.mask_sql(documents, catalog.MASKS)),
     }
     wanted = sys.argv[1:] or list(benches)
     seconds, rates = {}, {}

@@ -9,7 +9,8 @@ does not use the thread's stack. Patterns that follow nesting carry a level coun
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,16 @@ from sqltide.functions.words import (
 COMMENT_LEVELS = 16
 PAREN_LEVELS = 12
 
-_FIRST = r"A-Za-z_\x{80}-\x{10FFFF}"
-_REST = _FIRST + "0-9"
-_NAME = rf"[{_FIRST}][{_REST}]*+"
+_WIDE = r"\x{80}-\x{10FFFF}"
+_NAME = rf"[A-Za-z_{_WIDE}][A-Za-z0-9_{_WIDE}]*+"
+# Lower-case text is matched by listed characters, which the regex engine looks up at once.
+_LOW = "_" + ascii_lowercase
+_LOW_NAME = rf"[{_LOW}{_WIDE}][{_LOW}{digits}{_WIDE}]*+"
 # In the token view a lone double quote stands for a quoted name that is no plain word.
-_WORD = rf'(?:{_NAME}|")'
+_WORD = rf'(?:{_LOW_NAME}|")'
+_NO_WORD = rf'[^{_LOW}{_WIDE}"]*+'
+_WORD_STARTS = rf"(?<![{_LOW}])"
+_WORD_ENDS = rf"(?![{_LOW}{digits}{_WIDE}])"
 _SPACE = r"[ \t\n\r\f\x0B]"
 
 
@@ -66,6 +72,17 @@ def _balanced(levels: int) -> str:
 _BALANCED = _balanced(PAREN_LEVELS)
 
 
+def _token_statement() -> str:
+    """One statement of a token view, which has no literals or comments."""
+    group = r"\([^)]*+(?:\)|\z)"
+    for _ in range(PAREN_LEVELS - 1):
+        group = rf"\((?:[^()]++|{group})*+(?:\)|\z)"
+    return rf"(?:[^;(]++|{group})++"
+
+
+_TOKEN_STATEMENT = _token_statement()
+
+
 def _statement_pattern() -> str:
     """One statement of raw text: everything up to a semicolon outside parentheses."""
     tags = iter(range(PAREN_LEVELS + 1))
@@ -93,16 +110,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@cache
+def _whole_word(words: frozenset) -> str:
+    """A pattern for exactly these words, grouped by first letter."""
+    groups: dict[str, list[str]] = {}
+    for word in sorted(words):
+        groups.setdefault(word[0], []).append(quoted(word[1:]))
+    return r"\A(?:" + "|".join(
+        f"{quoted(first)}(?:{'|'.join(rest)})" for first, rest in groups.items()) + r")\z"
+
+
 def _is_any(c: Column, words) -> Column:
-    return c.isin(*sorted(words))
+    """Membership in a long list as one literal, which keeps the plan small."""
+    return c.rlike(_whole_word(frozenset(words)))
 
 
 # --- token view and statements ---------------------------------------------------------
 
+def _may_hide_text(sql: Column) -> Column:
+    """Cheap test for comments, literals and quoted names."""
+    return reduce(lambda acc, sign: acc | sql.contains(sign), ['"', "$", "--", "/*"],
+                  sql.contains("'"))
+
+
 def tokens_view(sql: Column) -> Column:
     """Text without comments and literal bodies; quoted names stay names."""
     return F.when(
-        sql.rlike(r"""['"$]|--|/\*"""),
+        _may_hide_text(sql),
         F.regexp_replace(sql, _TOKENS, " $1$2$4$5 "),
     ).otherwise(sql)
 
@@ -135,38 +169,50 @@ def depth_zero(tokens: Column) -> Column:
 
 
 def _first_word(lowered: Column) -> Column:
-    return F.regexp_extract(lowered, rf'^[^{_FIRST}"]*+({_WORD})', 1)
+    return F.regexp_extract(lowered, rf'^{_NO_WORD}({_WORD})', 1)
 
 
 def _second_word(lowered: Column) -> Column:
     return F.regexp_extract(
-        lowered, rf'^[^{_FIRST}"]*+{_WORD}[^{_FIRST}"]*+({_WORD})', 1)
+        lowered, rf'^{_NO_WORD}{_WORD}{_NO_WORD}({_WORD})', 1)
 
 
 def call_names(tokens: Column) -> Column:
     """Lower-case names, qualified as written, that stand before an opening parenthesis."""
-    chain = rf"({_WORD}(?:{_SPACE}*+\.{_SPACE}*+{_WORD})*+){_SPACE}*+\("
-    found = F.regexp_extract_all(F.lower(tokens), F.lit(chain), F.lit(1))
-    return F.transform(found, lambda c: F.regexp_replace(c, rf"{_SPACE}++", ""))
+    return F.transform(_calls(F.lower(tokens)), _compact)
+
+
+def _calls(lowered: Column) -> Column:
+    dotted = rf"(?:{_SPACE}*+\.{_SPACE}*+{_WORD})*+"
+    return F.regexp_extract_all(
+        lowered, F.lit(rf"{_WORD_STARTS}({_WORD}{dotted}){_SPACE}*+\("), F.lit(1))
+
+
+def _compact(name: Column) -> Column:
+    """A call name without blanks, which only stand around dots."""
+    return F.when(name.contains("."), F.regexp_replace(name, rf"{_SPACE}++", "")) \
+        .otherwise(name)
 
 
 def _calls_routine(lowered: Column, builtins) -> Column:
-    known_last = KEYWORDS_BEFORE_PAREN | BUILTIN_ROUTINES | {b.lower() for b in builtins}
+    known_last = KEYWORDS_BEFORE_PAREN | BUILTIN_ROUTINES \
+        | {b.lower() for b in builtins if b}
 
     def is_routine(name: Column) -> Column:
-        first = F.substring_index(name, ".", 1)
-        last = F.substring_index(name, ".", -1)
-        return ~_is_any(first, KEYWORDS_BEFORE_PAREN) & ~_is_any(last, known_last)
+        first = F.substring_index(_compact(name), ".", 1)
+        last = F.substring_index(_compact(name), ".", -1)
+        dotted = ~_is_any(first, KEYWORDS_BEFORE_PAREN) & ~_is_any(last, known_last)
+        return F.when(name.contains("."), dotted).otherwise(~_is_any(name, known_last))
 
     return F.when(
-        lowered.contains("("), F.exists(call_names(lowered), is_routine),
+        lowered.contains("("), F.exists(_calls(lowered), is_routine),
     ).otherwise(F.lit(False))
 
 
 def _primary_of_with(lowered: Column) -> Column:
     return F.regexp_extract(
         depth_zero(lowered),
-        rf"(?<![{_REST}])(select|insert|update|delete)(?![{_REST}])", 1)
+        rf"{_WORD_STARTS}(select|insert|update|delete){_WORD_ENDS}", 1)
 
 
 def primary_command(sql: Column) -> Column:
@@ -177,19 +223,17 @@ def primary_command(sql: Column) -> Column:
 # --- classification --------------------------------------------------------------------
 
 def _class_of_tokens(lowered: Column, builtins) -> Column:
-    select_kind = F.when(_calls_routine(lowered, builtins), "proc_select") \
-        .otherwise("plain_select")
+    """Class by the leading word; WITH counts as the command it governs."""
+    leading = let(_first_word(lowered), lambda w: F.when(
+        w == "with", F.concat(F.lit("with "), _primary_of_with(lowered))).otherwise(w))
+    from_word = rf"{_WORD_STARTS}from{_WORD_ENDS}"
 
     def by_word(word: Column) -> Column:
-        dml = word.isin("insert", "update", "delete")
-        with_kind = let(
-            _primary_of_with(lowered),
-            lambda p: F.when(p == "select", select_kind)
-                       .when(p != "", "dml").otherwise("unknown"))
-        from_word = rf"(?<![{_REST}])from(?![{_REST}])"
         return (
-            F.when(word == "select", select_kind)
-             .when(dml, "dml")
+            F.when(word.isin("select", "with select"),
+                   F.when(_calls_routine(lowered, builtins), "proc_select")
+                    .otherwise("plain_select"))
+             .when(word.rlike(r"\A(?:with )?(?:insert|update|delete)\z"), "dml")
              .when(word.isin("begin", "start"), "begin")
              .when(word.isin("commit", "end"), "commit_rollback")
              .when(word == "rollback",
@@ -198,13 +242,18 @@ def _class_of_tokens(lowered: Column, builtins) -> Column:
              .when(word.isin("savepoint", "release", "set", "reset", "discard"), "utility")
              .when(word.isin("create", "alter", "drop"), "ddl")
              .when(word == "call", "call")
-             .when(word == "copy",
-                   F.when(depth_zero(lowered).rlike(from_word), "copy_from")
-                    .otherwise("unknown"))
-             .when(word == "with", with_kind)
+             .when((word == "copy") & depth_zero(lowered).rlike(from_word), "copy_from")
              .otherwise("unknown"))
 
-    return let(_first_word(lowered), by_word)
+    return let(leading, by_word)
+
+
+def _weightiest(classes: Column) -> Column:
+    weights = F.create_map(*[F.lit(x) for kv in CLASS_PRIORITY.items() for x in kv])
+    ranked = F.transform(
+        classes,
+        lambda c, i: F.struct(weights[c].alias("w"), (-i).alias("i"), c.alias("c")))
+    return F.coalesce(F.array_max(ranked)["c"], F.lit("unknown"))
 
 
 def classify_single(sql: Column, builtins=()) -> Column:
@@ -214,23 +263,35 @@ def classify_single(sql: Column, builtins=()) -> Column:
 
 def classify_batch(sql: Column, builtins=()) -> Column:
     """Weightiest class among the statements of a text; the first wins a tie."""
-    weights = F.create_map(*[F.lit(x) for kv in CLASS_PRIORITY.items() for x in kv])
-    classes = F.transform(split_statements(sql), lambda s: classify_single(s, builtins))
-    ranked = F.transform(
-        classes,
-        lambda c, i: F.struct(weights[c].alias("w"), (-i).alias("i"), c.alias("c")))
-    return F.coalesce(F.array_max(ranked)["c"], F.lit("unknown"))
+    return _weightiest(
+        F.transform(split_statements(sql), lambda s: classify_single(s, builtins)))
 
 
 def has_several_statements(sql: Column) -> Column:
     """Cheap test that never misses: a semicolon with more text behind it."""
-    return sql.rlike(r";[ \t\n\r]*+[^ \t\n\r]")
+    return sql.contains(";") & sql.rlike(r";[ \t\n\r]*+[^ \t\n\r;]")
 
 
 def classify_sql(sql: Column, builtins=()) -> Column:
-    """Statement class of a text of one or several statements."""
-    return F.when(has_several_statements(sql), classify_batch(sql, builtins)) \
-        .otherwise(F.coalesce(classify_single(sql, builtins), F.lit("unknown")))
+    """Statement class of a text of one or several statements.
+
+    The token view is split instead of the raw text, so each text is tokenised once. Only
+    quoted names need the raw text, as they do not hide a semicolon.
+    """
+    def pieces(t: Column) -> Column:
+        return F.when(has_several_statements(t),
+                      F.regexp_extract_all(t, F.lit(_TOKEN_STATEMENT), F.lit(0))) \
+            .otherwise(F.array(t))
+
+    def tokenised(s: Column) -> Column:
+        return F.lower(tokens_view(s))
+
+    parts = F.when(
+        sql.contains('"') & has_several_statements(sql),
+        F.transform(split_statements(sql), tokenised),
+    ).otherwise(let(tokenised(sql), pieces))
+    classes = F.transform(parts, lambda t: _class_of_tokens(t, builtins))
+    return let(classes, lambda c: F.when(F.size(c) == 1, c[0]).otherwise(_weightiest(c)))
 
 
 def is_proc_invoking(sql: Column, builtins=()) -> Column:
@@ -251,7 +312,7 @@ def invokes_any(sql: Column, names) -> Column:
         return F.lit(False)
     return F.exists(
         call_names(tokens_view(sql)),
-        lambda c: c.isin(*wanted) | F.substring_index(c, ".", -1).isin(*wanted))
+        lambda c: _is_any(c, wanted) | _is_any(F.substring_index(c, ".", -1), wanted))
 
 
 def matches_any(sql: Column, patterns) -> Column:

@@ -71,9 +71,11 @@ def mask_sql(events: DataFrame, rules) -> DataFrame:
         template = sqltext.replacement_template(replacement)
         if not sqltext.pattern_is_valid(pattern, template):
             continue
-        events = events.withColumns({
-            "masked": F.col("masked") | F.coalesce(F.col("sql").rlike(pattern), F.lit(False)),
-            "sql": F.regexp_replace("sql", pattern, template)})
+        hit = F.coalesce(F.col("sql").rlike(pattern), F.lit(False))
+        events = events.withColumn("__hit", hit).withColumns({
+            "masked": F.col("masked") | F.col("__hit"),
+            "sql": F.when(F.col("__hit"), F.regexp_replace("sql", pattern, template))
+                .otherwise(F.col("sql"))}).drop("__hit")
     return events
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltide.functions.params import zip_params
@@ -233,25 +233,28 @@ def correlate_binds(messages: DataFrame,
 
 
 def assemble_copy(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
-    """Finished bulk loads with their chunks in order; loads above the cap are left out.
-
-    Chunks are fetched for kept loads only, so a group never exceeds the byte cap.
-    """
-    rows = scan.cut(annotate(messages, opts).where(_kind("c", "d") & F.col("copy_id").isNotNull())
-                    .select(*CONN, "pos", "ts", "msg_type", "copy_id", "is_event", "copy_bytes",
-                            F.col("copy.sql").alias("sql")))
-    done = rows.where(F.col("is_event")).select(
-        *CONN, "copy_id", "pos", "ts", "sql", "copy_bytes")
+    """Finished bulk loads with their chunks in order; loads above the cap are left out."""
+    in_load = _kind("c", "d") & F.col("copy_id").isNotNull()
+    rows = scan.cut(annotate(messages, opts).where(in_load).select(
+        *CONN, "pos", "ts", "msg_type", "copy_id", "is_event", "copy_bytes",
+        F.col("copy.sql").alias("sql")))
+    done = rows.where("is_event").select(*CONN, "copy_id", "pos", "ts", "sql", "copy_bytes")
+    data = _load_data(rows, messages)
+    return done.join(data, [*CONN, "copy_id"], "left").drop("copy_id") \
+        .withColumn("copy_data", F.coalesce("copy_data", F.array().cast("array<binary>")))
+
+
+def _load_data(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Chunks per finished load: fetched for kept loads only, so a group stays below the cap."""
+    kept = rows.where(_kind("c") & F.col("is_event")).select(*CONN, "copy_id")
     chunks = _complete(messages).where(_kind("d")).select(*CONN, "pos", "chunk")
-    data = (rows.where(_kind("d")).select(*CONN, "copy_id", "pos")
-            .join(done.select(*CONN, "copy_id"), [*CONN, "copy_id"], "left_semi")
+    return (rows.where(_kind("d")).select(*CONN, "copy_id", "pos")
+            .join(kept, [*CONN, "copy_id"], "left_semi")
             .join(chunks, [*CONN, "pos"])
             .groupBy(*CONN, "copy_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("parts")))
-    return done.join(data, [*CONN, "copy_id"], "left").select(
-        *CONN, "pos", "ts", "sql", "copy_bytes",
-        F.coalesce(F.transform("parts", lambda p: p["chunk"]),
-                   F.array().cast("array<binary>")).alias("copy_data"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("parts"))
+            .select(*CONN, "copy_id",
+                    F.transform("parts", lambda p: p["chunk"]).alias("copy_data")))
 
 
 def assign_seq(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
@@ -315,28 +318,42 @@ def assign_tx_id(messages: DataFrame, opts: SessionOptions = SessionOptions()) -
 
 def sql_events(messages: DataFrame, opts: SessionOptions = SessionOptions(),
                with_copy_data: bool = True) -> DataFrame:
-    """Messages to complete statement events, with the state before each of them."""
-    rows = scan.cut(annotate(messages, opts).where(F.col("is_event") | F.col("completes")))
-    events = rows.where("is_event").withColumns({
-        "sql": F.when(_kind("Q"), F.col("sql")).when(_kind("B"), F.col("def.sql"))
-            .otherwise(F.col("copy.sql")),
-        "params": F.when(_kind("B"), zip_params(
-            F.col("def.oids"), F.col("param_formats"), F.col("param_values"))),
-    })
+    """Messages to complete statement events, with the state before each of them.
+
+    Narrow rows are written once; chunks are joined to finished loads only, and the
+    numbering of transactions is the only further shuffle of all events.
+    """
     took = (F.unix_micros("ts") - F.unix_micros("start.ts")) * 1000
-    timed = (rows.where(F.col("completes") & _behind(F.col("start.pos"), F.col("complete_pos")))
-             .select(*CONN, "seq", "pos", took.alias("ns")).where("ns > 0")
-             .groupBy(*CONN, "seq").agg(F.max_by("ns", "pos").alias("source_exec_ns")))
-    events = number_transactions(events).join(timed, [*CONN, "seq"], "left")
-    if with_copy_data:
-        loads = assemble_copy(messages, opts).select(*CONN, "pos", "copy_data")
-        events = events.join(loads, [*CONN, "pos"], "left")
-    else:
-        events = events.withColumn("copy_data", F.lit(None).cast("array<binary>"))
-    return events.select(
-        *CONN, "pos", "ts", "sql", "tx_id", "seq", _kind("B").alias("extended"),
-        F.when(_kind("B"), F.col("stmt_name")).alias("stmt_name"), "params", "copy_data",
+    timed = F.when(F.col("completes") & _behind(F.col("start.pos"), F.col("complete_pos"))
+                   & (took > 0), took)
+    rows = annotate(messages, opts).withColumns({
+        "exec_ns": timed,
+        "in_load": _kind("d") & F.col("copy_id").isNotNull(),
+    }).where(F.col("is_event") | F.col("in_load") | F.col("exec_ns").isNotNull())
+    # An event and the completions timed for it share (connection, seq), so this window
+    # needs no shuffle of its own and its groups stay small.
+    per_event = Window.partitionBy(*CONN, F.when(F.col("in_load"), -1 - F.col("pos"))
+                                   .otherwise(F.col("seq")))
+    rows = rows.withColumn("source_exec_ns", F.max_by(
+        "exec_ns", F.when(F.col("exec_ns").isNotNull(), F.col("pos"))).over(per_event))
+    bind = _kind("B")
+    rows = scan.cut(rows.where(F.col("is_event") | F.col("in_load")).select(
+        *CONN, "pos", "ts", "msg_type", "is_event", "copy_id",
+        F.when(_kind("Q"), F.col("sql")).when(bind, F.col("def.sql"))
+         .when(_kind("c"), F.col("copy.sql")).alias("sql"),
+        "seq", bind.alias("extended"), F.when(bind, F.col("stmt_name")).alias("stmt_name"),
+        F.when(bind, zip_params(F.col("def.oids"), F.col("param_formats"),
+                                F.col("param_values"))).alias("params"),
         "source_exec_ns",
         F.coalesce("database", "copy.database").alias("database"),
         F.coalesce("db_user", "copy.db_user").alias("db_user"),
-        "stmt_class", "tx_state")
+        "stmt_class", "tx_state", "tx_pos", "opens_tx"))
+    events = rows.where("is_event").withColumn("copy_data", F.lit(None).cast("array<binary>"))
+    if with_copy_data:
+        loads = events.where(_kind("c")).drop("copy_data") \
+            .join(_load_data(rows, messages), [*CONN, "copy_id"], "left") \
+            .withColumn("copy_data", F.coalesce("copy_data", F.array().cast("array<binary>")))
+        events = events.where(~_kind("c")).unionByName(loads)
+    return number_transactions(events).select(
+        *CONN, "pos", "ts", "sql", "tx_id", "seq", "extended", "stmt_name", "params",
+        "copy_data", "source_exec_ns", "database", "db_user", "stmt_class", "tx_state")
