@@ -178,7 +178,7 @@ def capture_filter(spark, sf):
 @query
 def capture_filter_host(spark, sf):
     return capture.capture_filter(
-        table(spark, sf, "segments"), source_host="10.0.0.22", source_port=6543,
+        table(spark, sf, "segments"), source_host="10.0.0.11", source_port=6543,
     ).select("pos", "src_ip", "dst_ip")
 
 

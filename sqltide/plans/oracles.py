@@ -259,7 +259,7 @@ ORACLES["capture_filter"] = f"""
 WITH {SEGMENTS} SELECT pos, src_port, dst_port FROM g WHERE src_port = 5432 OR dst_port = 5432"""
 ORACLES["capture_filter_host"] = f"""
 WITH {SEGMENTS} SELECT pos, src_ip, dst_ip FROM g WHERE 6543 IN (src_port, dst_port)
-AND '10.0.0.22' IN (src_ip, dst_ip)"""
+AND '10.0.0.11' IN (src_ip, dst_ip)"""
 CONNS = f"""{SEGMENTS}, u AS (SELECT * EXCLUDE (src_ip, dst_ip), replace(src_ip, '::ffff:', '') AS src_ip,
     replace(dst_ip, '::ffff:', '') AS dst_ip FROM g),
   ends AS (SELECT *, concat(src_ip, ':', src_port) AS a, concat(dst_ip, ':', dst_port) AS b FROM u),
