@@ -78,18 +78,22 @@ def order_segments(segments: DataFrame, keys=tuple(STREAM), hot_rows: int = scan
     is never gathered into one value. No handshake is needed.
     """
     keys = list(keys)
-    rows = segments.where(F.col("len") > 0)
-    rows, hot = scan.mark_hot(rows, keys, scan.find_hot(rows, keys, hot_rows))
-    rows = scan.running(rows, keys, "pos", {"__prev": scan.latest(F.col("tcp_seq"))},
-                        hot, width)
-    jump = F.col("tcp_seq") - F.col("__prev")
-    turn = F.when(jump < -(_WRAP >> 1), 1).when(jump > (_WRAP >> 1), -1).otherwise(0)
-    rows = scan.running(rows.withColumn("__turn", turn.cast("long")), keys, "pos",
-                        {"__turns": scan.total(F.col("__turn"), inclusive=True)}, hot, width)
-    rows = rows.withColumn("stream_seq", F.col("tcp_seq") + F.col("__turns") * _WRAP)
+    data = segments.where(F.col("len") > 0)
     end = F.col("stream_seq") + F.col("len")
-    rows = scan.running(rows, keys, "stream_seq", {"__seen": scan.highest(end)},
-                        hot, byte_width, ties=["pos"])
+
+    def ordered(rows: DataFrame, split: bool) -> DataFrame:
+        rows = scan.running(rows, keys, "pos", {"__prev": scan.latest(F.col("tcp_seq"))},
+                            split, width)
+        jump = F.col("tcp_seq") - F.col("__prev")
+        turn = F.when(jump < -(_WRAP >> 1), 1).when(jump > (_WRAP >> 1), -1).otherwise(0)
+        rows = scan.running(
+            rows.withColumn("__turn", turn.cast("long")), keys, "pos",
+            {"__turns": scan.total(F.col("__turn"), inclusive=True)}, split, width)
+        rows = rows.withColumn("stream_seq", F.col("tcp_seq") + F.col("__turns") * _WRAP)
+        return scan.running(rows, keys, "stream_seq", {"__seen": scan.highest(end)},
+                            split, byte_width, ties=["pos"])
+
+    rows = scan.by_heat(data, keys, scan.find_hot(data, keys, hot_rows), ordered)
     seen = F.col("__seen")
     known = F.least(F.greatest(seen - F.col("stream_seq"), F.lit(0)), F.col("len"))
     status = (F.when(seen.isNull(), "start").when(end <= seen, "duplicate")
@@ -120,21 +124,23 @@ def assign_life(segments: DataFrame, idle_seconds: int = 300,
     flags = F.upper(F.coalesce("flags", F.lit("")))
     closing = flags.rlike("FIN|RST")
     opening = (F.col("len") > 0) | flags.contains("SYN")
-    rows, hot = scan.mark_hot(
-        segments, ["conn_key"], scan.find_hot(segments, ["conn_key"], hot_rows))
-    rows = scan.running(rows, ["conn_key"], "pos", {
-        "__before": scan.latest(F.col("ts")),
-        "__closed": scan.highest(F.when(closing, F.col("pos"))),
-        "__opened": scan.highest(F.when(opening, F.col("pos"))),
-    }, hot, width)
-    quiet = F.unix_micros("ts") - F.unix_micros("__before") >= idle_seconds * 1_000_000
-    reopened = opening & (F.col("__closed") >= F.coalesce("__opened", F.lit(-1)))
-    rows = rows.withColumn("__new", F.coalesce(quiet, F.lit(False))
-                           | F.coalesce(reopened, F.lit(False)))
-    return scan.running(
-        rows, ["conn_key"], "pos",
-        {"life": scan.count_if(F.col("__new"), inclusive=True)}, hot, width,
-    ).select(*segments.columns, "life")
+
+    def lives(rows: DataFrame, split: bool) -> DataFrame:
+        rows = scan.running(rows, ["conn_key"], "pos", {
+            "__before": scan.latest(F.col("ts")),
+            "__closed": scan.highest(F.when(closing, F.col("pos"))),
+            "__opened": scan.highest(F.when(opening, F.col("pos"))),
+        }, split, width)
+        quiet = F.unix_micros("ts") - F.unix_micros("__before") >= idle_seconds * 1_000_000
+        reopened = opening & (F.col("__closed") >= F.coalesce("__opened", F.lit(-1)))
+        rows = rows.withColumn("__new", F.coalesce(quiet, F.lit(False))
+                               | F.coalesce(reopened, F.lit(False)))
+        return scan.running(
+            rows, ["conn_key"], "pos",
+            {"life": scan.count_if(F.col("__new"), inclusive=True)}, split, width)
+
+    hot = scan.find_hot(segments, ["conn_key"], hot_rows)
+    return scan.by_heat(segments, ["conn_key"], hot, lives).select(*segments.columns, "life")
 
 
 def connection_sessions(segments: DataFrame, idle_seconds: int = 300,

@@ -63,7 +63,8 @@ def exec_histogram(times: DataFrame) -> DataFrame:
 def p99_nearest_rank(times: DataFrame, q: float = 0.99,
                      window: int = SAMPLE_WINDOW) -> DataFrame:
     """Nearest-rank quantile of the last ``window`` samples per side (0 without samples)."""
-    recent = scan.last_rows(times.where(F.col("seconds") > 0), "pos", window, ["side"])
+    recent = scan.last_rows(times.where(F.col("seconds") > 0), "pos", window, ["side"],
+                            few_keys=True)
     sides = Window.partitionBy("side")
     ranked = recent.withColumns({
         "__rank": F.row_number().over(sides.orderBy("seconds")),

@@ -135,7 +135,7 @@ def with_rollbacks(outcomes: DataFrame) -> DataFrame:
 
 
 def bounded_backlog(events: DataFrame, capacity: int, policy: str = "drop_oldest",
-                    width: int = scan.RANGE_WIDTHS[0]) -> DataFrame:
+                    width: int = 1 << 20) -> DataFrame:
     """What a queue of ``capacity`` without a consumer holds at the end."""
     policy = _one_of(policy, OVERFLOW, "drop_oldest")
     if capacity <= 0:

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 HOT_ROWS = 4_000_000
 RANGE_WIDTHS = (1 << 16, 1 << 12)
 MAX_BROADCAST_KEYS = 10_000
+MAX_BROADCAST_RANGES = 1_000_000
 
 _PART = "__part"
-_HOT = "__hot"
 
 
 @dataclass(frozen=True)
@@ -111,11 +111,11 @@ def _plain(df: DataFrame, keys, order: str, specs: dict[str, Run], ties=()) -> D
 
 
 def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column,
-            widths, only: Column | None = None, ties=()) -> DataFrame:
+            widths, ties=()) -> DataFrame:
     base = df.withColumn(_PART, part)
     near = _plain(base, [*keys, _PART], order, specs, ties)
     sort_key = F.struct(order, *ties) if ties else F.col(order)
-    folded = (base if only is None else base.where(only)).groupBy(*keys, _PART).agg(
+    folded = base.groupBy(*keys, _PART).agg(
         *[run.fold(sort_key).alias(f"__fold_{name}") for name, run in specs.items()])
     carried = {
         f"__far_{name}": Run(run.kind, F.col(f"__fold_{name}"), False)
@@ -133,18 +133,17 @@ def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column
         for name, run in specs.items()])
 
 
-def running(df: DataFrame, keys, order: str, specs: dict[str, Run],
-            hot: str | None = None, width: int = RANGE_WIDTHS[0], ties=()) -> DataFrame:
-    """Add running values per key.
+def running(df: DataFrame, keys, order: str, specs: dict[str, Run], split: bool = False,
+            width: int = RANGE_WIDTHS[0], ties=()) -> DataFrame:
+    """Add running values per key; ``ties`` are further order columns.
 
-    ``hot`` names a boolean column that marks rows of hot keys (see ``mark_hot``);
-    without it the plain window is used. ``ties`` are further order columns.
+    Without ``split`` a key is one window partition. With it, keys are cut into ranges of
+    ``width``; the rows are written first, as both passes read them.
     """
-    if hot is None:
+    if not split:
         return _plain(df, keys, order, specs, ties)
-    part = F.when(F.col(hot), F.floor(F.col(order) / width)).cast("long")
-    return _ranged(cut(df), keys, order, specs, F.coalesce(part, F.lit(-1 << 62)),
-                   (), only=F.col(hot), ties=ties)
+    part = F.floor(F.col(order) / width).cast("long")
+    return _ranged(cut(df), keys, order, specs, part, (), ties)
 
 
 def running_all(df: DataFrame, order: str, specs: dict[str, Run],
@@ -168,31 +167,36 @@ def find_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     return F.broadcast(hot) if found <= MAX_BROADCAST_KEYS else hot
 
 
-def mark_hot(df: DataFrame, keys, hot: DataFrame | None) -> tuple[DataFrame, str | None]:
-    """Mark the rows of hot keys; returns the frame and the mark column, if any."""
+def by_heat(df: DataFrame, keys, hot: DataFrame | None, run) -> DataFrame:
+    """Apply ``run(frame, split)`` to the rows of ordinary and of hot keys, and unite them.
+
+    Only rows of hot keys pay for being split.
+    """
     if hot is None:
-        return df, None
-    marked = df.join(hot.withColumn(_HOT, F.lit(True)), keys, "left")
-    return marked.withColumn(_HOT, F.coalesce(_HOT, F.lit(False))), _HOT
+        return run(df, False)
+    ordinary = run(df.join(hot, keys, "left_anti"), False)
+    return ordinary.unionByName(run(df.join(hot, keys, "left_semi"), True))
 
 
 def running_by(df: DataFrame, keys, order: str, specs: dict[str, Run],
                hot_rows: int = HOT_ROWS, width: int = RANGE_WIDTHS[0],
                ties=()) -> DataFrame:
-    """``mark_hot`` and ``running`` in one step."""
-    marked, hot = mark_hot(df, keys, find_hot(df, keys, hot_rows))
-    return running(marked, keys, order, specs, hot, width, ties) \
-        .select(*df.columns, *specs)
+    """Running values per key that stay balanced when a key is hot."""
+    return by_heat(
+        df, keys, find_hot(df, keys, hot_rows),
+        lambda part, split: running(part, keys, order, specs, split, width, ties)
+        .select(*df.columns, *specs))
 
 
 # --- ends of an order ------------------------------------------------------------------------
 
-def last_rows(df: DataFrame, order: str, n: int, keys=(),
-              width: int = RANGE_WIDTHS[0]) -> DataFrame:
+def last_rows(df: DataFrame, order: str, n: int, keys=(), few_keys: bool = False,
+              width: int = 1 << 20) -> DataFrame:
     """The ``n`` rows with the highest ``order`` per key.
 
     Ranges are counted first; only those that can hold a wanted row are sorted, so a
-    task ranks at most ``n + width`` rows.
+    task ranks at most ``n + width`` rows. There are at most ``n`` such ranges per key;
+    with no keys, or a fixed few, that bounds the list enough to broadcast it.
     """
     keys = list(keys)
     ranged = df.withColumn(_PART, F.floor(F.col(order) / width).cast("long"))
@@ -201,13 +205,15 @@ def last_rows(df: DataFrame, order: str, n: int, keys=(),
     wanted = (ranged.groupBy(*keys, _PART).count()
               .withColumn("__later", F.coalesce(F.sum("count").over(later), F.lit(0)))
               .where(F.col("__later") < n).select(*keys, _PART))
+    if (few_keys or not keys) and n <= MAX_BROADCAST_RANGES:
+        wanted = F.broadcast(wanted)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
     return (ranged.join(wanted, [*keys, _PART], "left_semi")
             .withColumn("__rank", rank).where(F.col("__rank") <= n).select(*df.columns))
 
 
-def first_rows(df: DataFrame, order: str, n: int, keys=(),
-               width: int = RANGE_WIDTHS[0]) -> DataFrame:
+def first_rows(df: DataFrame, order: str, n: int, keys=(), few_keys: bool = False,
+               width: int = 1 << 20) -> DataFrame:
     """The ``n`` rows with the lowest ``order`` per key; see ``last_rows``."""
     turned = df.withColumn("__turned", -F.col(order))
-    return last_rows(turned, "__turned", n, keys, width).select(*df.columns)
+    return last_rows(turned, "__turned", n, keys, few_keys, width).select(*df.columns)

@@ -89,14 +89,14 @@ def text_rows(messages: DataFrame, opts: SessionOptions,
     })
 
 
-def _with_definitions(rows: DataFrame, opts: SessionOptions, hot) -> DataFrame:
+def _with_definitions(rows: DataFrame, opts: SessionOptions, split: bool) -> DataFrame:
     """As-of join of each Bind with the latest earlier Parse of the same name."""
     definition = F.when(
         _kind("P") & F.col("sql").isNotNull(),
         F.struct("pos", "sql", F.col("param_oids").alias("oids"), "text_class", "text_reset"))
     prepared = scan.running(
         rows.where(_kind("P", "B")), [*CONN, "stmt_name"], "pos",
-        {"def": scan.latest(definition)}, hot, opts.range_width)
+        {"def": scan.latest(definition)}, split, opts.range_width)
     prepared = prepared.withColumn("def", F.when(_kind("B"), F.col("def")))
     others = rows.where(~_kind("P", "B"))
     return others.withColumn("def", F.lit(None).cast(prepared.schema["def"].dataType)) \
@@ -105,12 +105,16 @@ def _with_definitions(rows: DataFrame, opts: SessionOptions, hot) -> DataFrame:
 
 def annotate(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
     """All messages with the connection state that holds at each of them."""
-    hot_conns = scan.find_hot(_complete(messages), CONN, opts.hot_rows)
-    rows, hot = scan.mark_hot(text_rows(messages, opts), CONN, hot_conns)
-    rows = _with_definitions(rows, opts, hot)
+    messages = _complete(messages)
+    hot = scan.find_hot(messages, CONN, opts.hot_rows)
+    return scan.by_heat(messages, CONN, hot, lambda part, split: _annotate(part, opts, split))
+
+
+def _annotate(messages: DataFrame, opts: SessionOptions, split: bool) -> DataFrame:
+    rows = _with_definitions(text_rows(messages, opts), opts, split)
 
     def run(df: DataFrame, specs) -> DataFrame:
-        return scan.running(df, CONN, "pos", specs, hot, opts.range_width)
+        return scan.running(df, CONN, "pos", specs, split, opts.range_width)
 
     def at(condition: Column) -> Column:
         return F.when(condition, F.col("pos"))
@@ -206,10 +210,13 @@ def statement_definitions(messages: DataFrame,
                           opts: SessionOptions = SessionOptions()) -> DataFrame:
     """Prepared statements with the positions between which each holds."""
     rows = text_rows(messages, opts).withColumn("__back", -F.col("pos"))
-    rows = scan.running_by(
-        rows.withColumn("__resets", _kind("Q") & F.col("text_reset")), CONN, "__back",
-        {"next_reset": scan.latest(F.when(F.col("__resets"), F.col("pos")))},
-        opts.hot_rows, opts.range_width)
+    if opts.connection_pooler:
+        resets = _kind("Q") & F.col("text_reset")
+        rows = scan.running_by(
+            rows, CONN, "__back", {"next_reset": scan.latest(F.when(resets, F.col("pos")))},
+            opts.hot_rows, opts.range_width)
+    else:
+        rows = rows.withColumn("next_reset", F.lit(None).cast("long"))
     defined = rows.where(_kind("P") & F.col("sql").isNotNull())
     defined = scan.running_by(
         defined, [*CONN, "stmt_name"], "__back",
@@ -302,10 +309,12 @@ def number_transactions(rows: DataFrame, widths=scan.RANGE_WIDTHS) -> DataFrame:
     side of the join is the one row per group.
     """
     opened = scan.running_all(
-        rows.where("opens_tx").select(F.col("pos").alias("tx_pos")), "tx_pos",
+        rows.where("opens_tx").select(F.col("pos").alias("__group")), "__group",
         {"tx_id": scan.count_if(F.lit(True), inclusive=True)}, widths)
-    return rows.join(opened, "tx_pos", "left") \
-        .withColumn("tx_id", F.coalesce("tx_id", F.lit(0)))
+    # Events outside a group get a key of their own, or they would meet in one task.
+    group = F.when(F.col("tx_pos") >= 0, F.col("tx_pos")).otherwise(-1 - F.col("pos"))
+    return rows.withColumn("__group", group).join(opened, "__group", "left") \
+        .withColumn("tx_id", F.coalesce("tx_id", F.lit(0))).drop("__group")
 
 
 def assign_tx_id(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
