@@ -17,8 +17,8 @@ from sqltide.operators import scan
 
 # Patterns of the safeguards.
 SCHEMA_CHANGE = (
-    r"(?i)^\s*(?:--[^\n]*\n\s*|/\*[\s\S]*?\*/\s*)*"
-    r"(CREATE|ALTER|DROP|TRUNCATE|GRANT|REVOKE)\s")
+    r"(?i)^\s*+(?:--[^\n]*+\n\s*+)*+(?:/\*[\s\S]*?\*/\s*+(?:--[^\n]*+\n\s*+)*+)?"
+    r"(?:CREATE|ALTER|DROP|TRUNCATE|GRANT|REVOKE)\s")
 EXTERNAL_CALLS = (
     r"dblink\s*\(", r"dblink_exec\s*\(", r"pg_notify\s*\(", r"notify\s+\w",
     r"from\s+\w+\.\w+\.\w+", r"lo_import\s*\(", r"lo_export\s*\(",

@@ -58,7 +58,8 @@ def pace(events: DataFrame, speed_factor: float = 1.0,
     if speed_factor <= 0:
         return events.withColumns({
             "delay_ns": F.lit(0).cast("long"), "due_ns": F.lit(0).cast("long")})
-    rows = scan.running_all(events, "pos", {"__prev": scan.latest(F.col("ts"))}, widths)
+    rows = scan.running_all(events, "pos", {"__prev": scan.latest(F.col("ts"))}, widths,
+                            keep_part=True)
     gap = (F.unix_micros("ts") - F.unix_micros("__prev")) * 1000
     delay = F.when(gap > 0, F.least(
         F.floor(gap / F.lit(float(speed_factor))), F.lit(MAX_DELAY_NS))).otherwise(0)
@@ -78,7 +79,7 @@ def rate_limit(events: DataFrame, qps: float, arrival: str = "due_ns",
         return events.withColumn("slot_ns", F.col(arrival).cast("double"))
     step = F.lit(1e9 / qps)
     rows = scan.running_all(
-        events, "pos", {"__i": scan.count_if(F.lit(True))}, widths,
+        events, "pos", {"__i": scan.count_if(F.lit(True))}, widths, keep_part=True,
     ).withColumn("__i", F.coalesce("__i", F.lit(0)))
     rows = scan.running_all(
         rows, "pos",

@@ -110,9 +110,14 @@ def _plain(df: DataFrame, keys, order: str, specs: dict[str, Run], ties=()) -> D
     return df.withColumns({name: run.over(window) for name, run in specs.items()})
 
 
+def _range_of(order: str, width: int) -> Column:
+    return F.expr(f"`{order}` DIV {width}")
+
+
 def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column,
-            widths, ties=()) -> DataFrame:
-    base = df.withColumn(_PART, part)
+            widths, ties=(), keep_part: bool = False) -> DataFrame:
+    columns = [c for c in df.columns if c != _PART]
+    base = df if _PART in df.columns else df.withColumn(_PART, part)
     near = _plain(base, [*keys, _PART], order, specs, ties)
     sort_key = F.struct(order, *ties) if ties else F.col(order)
     folded = base.groupBy(*keys, _PART).agg(
@@ -122,13 +127,13 @@ def _ranged(df: DataFrame, keys, order: str, specs: dict[str, Run], part: Column
         for name, run in specs.items()}
     if widths:
         far = _ranged(folded.withColumnRenamed(_PART, "__at"), keys, "__at", carried,
-                      F.floor(F.col("__at") / widths[0]).cast("long"), widths[1:])
+                      _range_of("__at", widths[0]), widths[1:])
         far = far.drop(_PART).withColumnRenamed("__at", _PART)
     else:
         far = _plain(folded, keys, _PART, carried)
     far = far.select(*keys, _PART, *carried)
     joined = near.join(far, [*keys, _PART], "left")
-    return joined.select(*df.columns, *[
+    return joined.select(*columns, *([_PART] if keep_part else []), *[
         run.join(F.col(name), F.col(f"__far_{name}")).alias(name)
         for name, run in specs.items()])
 
@@ -142,15 +147,17 @@ def running(df: DataFrame, keys, order: str, specs: dict[str, Run], split: bool
     """
     if not split:
         return _plain(df, keys, order, specs, ties)
-    part = F.floor(F.col(order) / width).cast("long")
-    return _ranged(cut(df), keys, order, specs, part, (), ties)
+    return _ranged(cut(df), keys, order, specs, _range_of(order, width), (), ties)
 
 
 def running_all(df: DataFrame, order: str, specs: dict[str, Run],
-                widths=RANGE_WIDTHS, ties=()) -> DataFrame:
-    """Add running values over all rows in ``order``, never through a single task."""
-    return _ranged(df, [], order, specs,
-                   F.floor(F.col(order) / widths[0]).cast("long"), widths[1:], ties=ties)
+                widths=RANGE_WIDTHS, ties=(), keep_part: bool = False) -> DataFrame:
+    """Add running values over all rows in ``order``, never through a single task.
+
+    With ``keep_part`` the rows stay marked with their range, so that a next pass over the
+    same order needs no shuffle of its own.
+    """
+    return _ranged(df, [], order, specs, _range_of(order, widths[0]), widths[1:], ties, keep_part)
 
 
 def find_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -199,7 +206,7 @@ def last_rows(df: DataFrame, order: str, n: int, keys=(), few_keys: bool = False
     with no keys, or a fixed few, that bounds the list enough to broadcast it.
     """
     keys = list(keys)
-    ranged = df.withColumn(_PART, F.floor(F.col(order) / width).cast("long"))
+    ranged = df.withColumn(_PART, _range_of(order, width))
     later = Window.partitionBy(*keys).orderBy(F.col(_PART).desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     wanted = (ranged.groupBy(*keys, _PART).count()

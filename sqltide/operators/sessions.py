@@ -107,10 +107,37 @@ def annotate(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> Da
     """All messages with the connection state that holds at each of them."""
     messages = _complete(messages)
     hot = scan.find_hot(messages, CONN, opts.hot_rows)
-    return scan.by_heat(messages, CONN, hot, lambda part, split: _annotate(part, opts, split))
+    several = opts.connection_pooler and not text_rows(messages, opts).where(
+        _kind("P") & F.col("text_reset")).groupBy(*CONN).count().where("count > 1").isEmpty()
+    return scan.by_heat(
+        messages, CONN, hot, lambda part, split: _annotate(part, opts, split, several))
 
 
-def _annotate(messages: DataFrame, opts: SessionOptions, split: bool) -> DataFrame:
+def _real_resets(binds: DataFrame, opts: SessionOptions) -> DataFrame:
+    """Binds of prepared resets that find their statement not yet forgotten.
+
+    A bind counts if no counting bind lies between it and its Parse. Each round settles
+    every bind whose gap holds a settled one, or only rejected ones; rounds end when all
+    are settled, which takes one unless prepared resets interleave. Only the few bind rows
+    of reset statements take part.
+    """
+    binds = scan.cut(binds.withColumn("counts", F.lit(None).cast("boolean")))
+    while True:
+        may_count = F.coalesce("counts", F.lit(True))
+        seen = scan.running_by(binds, CONN, "pos", {
+            "__maybe": scan.highest(F.when(may_count, F.col("pos"))),
+            "__sure": scan.highest(F.when(F.col("counts"), F.col("pos"))),
+        }, opts.hot_rows, opts.range_width)
+        settled = F.when(F.col("__sure") > F.col("parsed"), False) \
+            .when(F.coalesce("__maybe", F.lit(-1)) <= F.col("parsed"), True)
+        binds = scan.cut(seen.withColumn("counts", F.coalesce("counts", settled))
+                         .drop("__maybe", "__sure"))
+        if binds.where(F.col("counts").isNull()).isEmpty():
+            return binds.where("counts").drop("counts", "parsed")
+
+
+def _annotate(messages: DataFrame, opts: SessionOptions, split: bool,
+              several_resets: bool) -> DataFrame:
     rows = _with_definitions(text_rows(messages, opts), opts, split)
 
     def run(df: DataFrame, specs) -> DataFrame:
@@ -135,11 +162,17 @@ def _annotate(messages: DataFrame, opts: SessionOptions, split: bool) -> DataFra
         "bind_reset_pos": scan.highest(at(F.col("bind_reset"))),
     })
     if opts.connection_pooler:
-        # A prepared reset forgets every statement, so another one counts only if it was
-        # prepared after it.
-        reset = simple_reset | (
-            F.col("bind_reset") & _behind(F.col("def.pos"), F.col("bind_reset_pos")))
-        rows = run(rows.withColumn("resets", F.coalesce(reset, F.lit(False))),
+        if several_resets:
+            rows = scan.cut(rows)
+            real = _real_resets(rows.where("bind_reset").select(
+                *CONN, "pos", F.col("def.pos").alias("parsed")), opts)
+            rows = rows.drop("bind_reset").join(
+                real.select(*CONN, "pos", F.lit(True).alias("bind_reset")), [*CONN, "pos"], "left")
+            prepared = F.col("bind_reset")
+        else:
+            # One prepared reset: only its first bind counts, which forgets the statement.
+            prepared = F.col("bind_reset") & _behind(F.col("def.pos"), F.col("bind_reset_pos"))
+        rows = run(rows.withColumn("resets", simple_reset | F.coalesce(prepared, F.lit(False))),
                    {"reset_pos": scan.highest(at(F.col("resets")))})
     else:
         rows = rows.withColumns({

@@ -285,6 +285,12 @@ def message_events(spark, sf):
                        params_text(F.col("params")).alias("params"))
 
 
+@query
+def message_decisions(spark, sf):
+    return pipeline.capture_to_decisions(messages(spark, sf)).select(
+        "conn_key", "pos", "stmt_class", "tx_state", "tx_id", "action", "reason")
+
+
 # --- SQL text --------------------------------------------------------------------------------
 
 def _statements(spark, sf):

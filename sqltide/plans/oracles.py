@@ -348,6 +348,12 @@ msg_type = 'B' AS extended, CASE WHEN msg_type = 'B' THEN stmt_name END AS stmt_
 ev_cls AS stmt_class, tx_state, CASE WHEN msg_type = 'B' THEN {_BIND_PARAMS} END AS params
 FROM g LEFT JOIN tx USING (tx_pos) LEFT JOIN lx ON lx.conn_key = g.conn_key AND lx.seq = g.seq WHERE is_event"""
 
+ORACLES["message_decisions"] = f"""
+WITH {_messages()} SELECT conn_key, pos, ev_cls AS stmt_class, tx_state, coalesce(tx_id, 0) AS tx_id,
+CASE WHEN ev_cls = 'unknown' THEN 'drop' WHEN ev_cls = 'plain_select' AND tx_state <> 'in_tx' THEN 'drop'
+ELSE 'keep' END AS action, CASE WHEN ev_cls = 'unknown' THEN 'indeterminate' ELSE 'rule' END AS reason
+FROM g LEFT JOIN tx USING (tx_pos) WHERE is_event"""
+
 # --- SQL text ------------------------------------------------------------------------------------
 
 _VIEW = ("trim(regexp_replace(regexp_replace(sql, '--[^\\n]*|/\\*[^*]*\\*/|('')(?:[^'']|'''')*''"

@@ -11,6 +11,8 @@ from sqltide.operators import decide, guard, metrics, replay, scan, sessions
 from sqltide.operators.decide import FilterOptions
 from sqltide.operators.guard import GuardOptions
 from sqltide.operators.sessions import SessionOptions
+from sqltide.streaming import flow
+from sqltide.streaming.sessionize import stream_sessionize
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,17 @@ def capture_to_decisions(messages: DataFrame, session: SessionOptions = SessionO
     return decide.decide(sessions.sql_events(messages, session), rules)
 
 
+def stream_replay(messages: DataFrame, path: str, checkpoint: str,
+                  session: SessionOptions = SessionOptions(),
+                  rules: FilterOptions = FilterOptions(),
+                  opts: ReplayOptions = ReplayOptions(), trigger: dict | None = None):
+    """A message stream to delivered, guarded events in lane order; returns the query."""
+    events = stream_sessionize(messages, session).where(F.col("kind") == "event")
+    guarded = flow.stream_classify_guard(events, rules, opts.guard).where(
+        (F.col("action") == "keep") & (F.col("guard") != "block"))
+    return flow.deliver_plan(guarded, path, checkpoint, opts.lane_mode, opts.dialect, trigger)
+
+
 def plan_replay(events: DataFrame, opts: ReplayOptions = ReplayOptions()) -> DataFrame:
     """Guard, pace, limit, and shape kept events into an ordered plan.
 

@@ -65,7 +65,8 @@ def deliver_plan(events: DataFrame, path: str, checkpoint: str, lane_mode: str =
     range layout splits a lane that fills most of a batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        planned = replay.apply_dialect(replay.assign_lane(batch, lane_mode), dialect)
+        text = "sql_out" if "sql_out" in batch.columns else "sql"
+        planned = replay.apply_dialect(replay.assign_lane(batch, lane_mode), dialect, text)
         planned.repartitionByRange("lane", "pos").sortWithinPartitions("lane", "pos") \
             .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

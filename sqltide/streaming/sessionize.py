@@ -35,6 +35,8 @@ EVENTS = T.StructType([
     T.StructField("param_values", T.ArrayType(T.BinaryType())),
     T.StructField("copy_data", T.ArrayType(T.BinaryType())),
     T.StructField("exec_ns", T.LongType()),
+    T.StructField("database", T.StringType()),
+    T.StructField("db_user", T.StringType()),
 ])
 
 _CORE = T.StructType([
@@ -174,7 +176,8 @@ class ConnectionState(StatefulProcessor):
             int(m.pos), m.ts, kind, sql, cls, self.tx_state, self.tx_pos, self.seq, bound,
             m.stmt_name if bound else None, oids,
             _none_list(m.param_formats) if bound else None,
-            _none_list(m.param_values) if bound else None, chunks, exec_ns)
+            _none_list(m.param_values) if bound else None, chunks, exec_ns,
+            _none(m.database), _none(m.db_user))
 
     def _open_copy(self, sql) -> None:
         self.copy_sql, self.copied = sql, 0
@@ -204,7 +207,7 @@ def stream_sessionize(messages: DataFrame, opts: SessionOptions = SessionOptions
     rows = rows.select(
         "conn_key", "life", "pos", "ts", "from_client", "msg_type", "sql", "stmt_name",
         "text_class", "text_reset", "oversized", "param_oids", "param_formats",
-        "param_values", "chunk", "tx_status")
+        "param_values", "chunk", "tx_status", "database", "db_user")
     return rows.groupBy("conn_key", "life").transformWithStateInPandas(
         statefulProcessor=ConnectionState(opts.max_copy_bytes, idle_seconds),
         outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")

@@ -85,3 +85,23 @@ def test_autocommit_groups_close_with_the_statement(spark):
     assert got == [1, 2, 3, 3, 3, 0]
     got = [r.tx_id for r in ops.assign_tx_id(df, PLAIN).orderBy("pos").collect()]
     assert got == [1, 1, 2, 2, 2, 0]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_interleaved_prepared_resets(spark, split):
+    rows = random_messages(30, 400, conns=2, lives=1)
+    for m in rows:          # mostly prepared resets under several names
+        if m["msg_type"] in "PB":
+            m["stmt_name"] = f"s{m['pos'] % 4}"
+        if m["msg_type"] == "P" and m["pos"] % 5:
+            m["sql"] = "DISCARD ALL"
+        if m["msg_type"] in "Qd" and m["pos"] % 3:
+            m.update(msg_type="B", sql=None, stmt_name=f"s{m['pos'] % 4}", param_formats=[],
+                     param_values=[], chunk=None)
+    events, _, errors, sessions = replay(rows, True)
+    opts = SessionOptions(connection_pooler=True, **(SPLIT if split else {}))
+    df = frame(spark, rows)
+    got = sorted((r.pos, r.seq) for r in ops.assign_seq(df, opts).collect())
+    assert got == [(e[0], e[2]) for e in events]
+    assert sorted((r.pos, r.sess) for r in ops.pooler_sessions(df, opts).collect()) == sessions
+    assert ops.parse_error_counts(df, opts).first().parse_errors == errors

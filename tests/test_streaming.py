@@ -9,6 +9,7 @@ from sqltide.operators import decide, guard, sessions
 from sqltide.operators.decide import FilterOptions
 from sqltide.operators.guard import GuardOptions
 from sqltide.operators.sessions import SessionOptions
+from sqltide.plans import pipeline
 from sqltide.sources import tables
 from sqltide.streaming import flow
 from sqltide.streaming.sessionize import stream_sessionize
@@ -143,3 +144,16 @@ def test_spool_is_a_cursor(spark, tmp_path):
     tables.spool_events(stream, f"{tmp_path}/spool", f"{tmp_path}/sc").awaitTermination()
     out, _ = run(reader, tmp_path / "r1")
     assert out.count() == 240 and out.select("pos").distinct().count() == 240
+
+
+def test_messages_to_delivered_plan(spark, tmp_path):
+    rows = random_messages(33, 300)
+    opts = pipeline.ReplayOptions(guard=GuardOptions(exclude_ddl=True), dialect="greenplum")
+    pipeline.stream_replay(message_stream(spark, rows, tmp_path), f"{tmp_path}/plan", f"{tmp_path}/pc",
+                           opts=opts).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/plan").collect()
+    batch = pipeline.capture_to_decisions(frame(spark, rows))
+    want = guard.apply_guard(batch, opts.guard).where("action = 'keep' and guard <> 'block'").collect()
+    assert sorted((r.pos, r.sql_out, r.db_user) for r in got) == sorted(
+        (r.pos, r.sql_out, r.db_user) for r in want)
+    assert {r.sql for r in got if not r.send} == {"BEGIN", "COMMIT", "ROLLBACK"}
