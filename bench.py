@@ -23,8 +23,7 @@ RUNS = 3
 def line_traffic(spark):
     """One statement and one message per order line, from the templates of the event traffic."""
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select(
-        (F.col("l_orderkey") * 65536 + F.col("l_partkey") % 8192 * 8 + F.col("l_linenumber"))
-        .alias("event_id"),
+        F.monotonically_increasing_id().alias("event_id"),
         F.col("l_shipdate").alias("ts"), F.col("l_suppkey").alias("user_id"),
         F.element_at(F.array(*[F.lit(x) for x in ("view", "click", "purchase", "signup", "error")]),
                      (F.col("l_partkey") % 5 + 1).cast("int")).alias("event_type"),

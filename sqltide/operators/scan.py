@@ -6,7 +6,7 @@ value inside each range, and add what the earlier ranges carry over:
 
 1. windows inside (key, range), one shuffle;
 2. one summary row per (key, range), pre-aggregated before its shuffle;
-3. a window over the summary rows, joined back on (key, range).
+3. a window over the summary rows, split the same way, joined back on (key, range).
 
 Keys below ``HOT_ROWS`` rows keep the plain window, so ordinary data pays one shuffle.
 The order column must be integral and unique within a key: a range of width ``w`` then
@@ -147,7 +147,8 @@ def running(df: DataFrame, keys, order: str, specs: dict[str, Run], split: bool
     """
     if not split:
         return _plain(df, keys, order, specs, ties)
-    return _ranged(cut(df), keys, order, specs, _range_of(order, width), (), ties)
+    return _ranged(
+        cut(df), keys, order, specs, _range_of(order, width), RANGE_WIDTHS[1:], ties)
 
 
 def running_all(df: DataFrame, order: str, specs: dict[str, Run],

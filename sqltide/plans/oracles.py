@@ -572,6 +572,10 @@ WITH a AS ({t('attempts')}) SELECT count(*) AS attempts, count(target_error) AS
 count(target_error) / count(*) AS error_rate, count(target_error) / count(*) > 0.01 AS alert FROM a"""
 ORACLES["exec_histogram"] = f"WITH {_times('line_results')}, {_HISTOGRAM} SELECT side, le, n FROM h"
 ORACLES["p99_nearest_rank"] = f"WITH {_times('order_results')}, {_p99(5000)} SELECT * FROM q"
+# The sketch may be off by few ranks; the derived times are equal far around this rank.
+ORACLES["p99_approx"] = f"""
+WITH {_times('line_results')} SELECT side, quantile_disc(seconds, 0.99) AS p99 FROM times
+WHERE seconds > 0 GROUP BY side"""
 ORACLES["alerts"] = f"""
 WITH g AS ({t('gauges')}) SELECT pos, CAST(lag_s > 60 AS DOUBLE) AS alert_lag,
 CAST(depth * 10 > 100000 AS DOUBLE) AS alert_depth, CAST((pos % 3) / 100.0 > 0.01 AS DOUBLE) AS alert_error_rate,
