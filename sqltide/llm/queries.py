@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, exact
+from sqltide.llm import bpe, exact, packing
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"),
+                            tokenizer("word_bpe_49k.json"), end_id=1, most=4096)
+    return packing.pack(pieces, room=4096).withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups_of(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -38,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op7_packing": op7_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
