@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, exact, packing, substring
+from sqltide.llm import bpe, exact, packing, substring, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def remainder(key: str, of: int):
+    """crc32 of an id's decimal digits, modulo ``of``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted to the labels that aren't held out."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("id", 5) != 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    return toxicity.scored(docs, model, score_col="score").select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(table(spark, sf_dir, "documents"),
                             tokenizer("word_bpe_49k.json"), end_id=1, most=4096)
@@ -49,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
