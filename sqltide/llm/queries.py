@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, exact, packing, substring, toxicity
+from sqltide.llm import bpe, exact, langid, packing, substring, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -54,6 +54,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, room=4096).withColumnRenamed("id", "doc_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("id", 3) != 1)
+    return docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"),
+                       langid.predict(F.col("text"), model).alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -69,6 +77,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
