@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sqltide.llm.vocabulary import Encoder, gather, slices, vocabulary
+from sqltide.llm.vocabulary import encoder, gather, slices, vocabulary
 
 
 def encode(text: Column, path: str) -> Column:
@@ -27,11 +27,11 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path))
+        coder = encoder(path)
         for batch in batches:
             parts = []
             for texts in slices(batch):
-                flat, start = encoder.encode(texts)
+                flat, start = coder.encode(texts)
                 parts.append(pa.ListArray.from_arrays(
                     pa.array(start, pa.int32()), pa.array(flat, pa.int32())))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.llm.shared import cut
-from sqltide.llm.vocabulary import Encoder, slices, vocabulary
+from sqltide.llm.vocabulary import encoder, slices
 
 PER_PARTITION = 4096
 #: Partitions that pool their loosest sequences, and how many each gives up at most.
@@ -37,11 +37,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, most: int = 4096, id_col: st
     """One row per piece: id, piece, start, length, crc of the ids, and the ids if wanted."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path))
+        coder = encoder(path)
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
-                flat, start = encoder.encode(texts)
+                flat, start = coder.encode(texts)
                 keys = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 yield rows(keys, flat.astype("<u4"), start)

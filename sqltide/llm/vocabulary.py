@@ -68,7 +68,8 @@ class Vocabulary:
         for token, symbols in zip(tokens, merged, strict=True):
             if symbols == [self.ids[token]]:
                 word = token.removesuffix(self.suffix) if self.suffix else token
-                self.whole.add_word(word + END * (word != token), self.ids[token])
+                word += END * (word != token)
+                self.whole.add_word(word[::-1] if self.suffix else word, self.ids[token])
         self.whole.make_automaton()
         self.width = np.zeros(self.size, dtype=np.int64)
         for token, i in self.ids.items():
@@ -175,12 +176,15 @@ class Vocabulary:
         made[rows, a] = what
 
     def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches for all words: their tokens end to end, and how many each."""
+        """Greedy longest matches for all words, from the end where words have an end mark:
+        their tokens end to end, and how many each."""
         ending = END + GAP if self.suffix else GAP
         text = ending.join(words) + ending
-        found = list(self.whole.iter_long(text))
+        found = list(self.whole.iter_long(text[::-1] if self.suffix else text))
         at = np.fromiter((e for e, _ in found), np.int64, len(found))
         tokens = np.fromiter((t for _, t in found), np.int64, len(found))
+        if self.suffix:
+            at, tokens = len(text) - 1 - at[::-1], tokens[::-1]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.cumsum(sizes + len(ending))
         of = np.searchsorted(ends, at, side="right")
@@ -275,7 +279,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes texts; what each word becomes is remembered, up to ``room`` words."""
 
-    def __init__(self, vocab: Vocabulary, room: int = 400_000):
+    def __init__(self, vocab: Vocabulary, room: int = 250_000):
         self.vocab, self.room = vocab, room
         self._forget()
 
@@ -318,6 +322,12 @@ class Encoder:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's own; it keeps what it remembers from task to task."""
+    return Encoder(vocabulary(path))
+
+
 def gather(flat, start, codes, counts):
     """The pieces of ``flat`` that ``codes`` name, end to end, and where each group of
     ``counts`` codes begins."""
