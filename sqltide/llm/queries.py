@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, exact, langid, packing, substring, toxicity
+from sqltide.llm import bpe, exact, jaccard, langid, packing, substring, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"), size=3, percent=90).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"))
+
+
 def remainder(key: str, of: int):
     """crc32 of an id's decimal digits, modulo ``of``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % of
@@ -75,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
