@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, exact, jaccard, langid, packing, substring, toxicity
+from sqltide.llm import bpe, embedding, exact, jaccard, langid, packing, substring, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -54,6 +54,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(table(spark, sf_dir, "documents"),
                             tokenizer("word_bpe_49k.json"), end_id=1, most=4096)
@@ -83,6 +88,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
