@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, embedding, exact, jaccard, langid, packing, substring, toxicity
+from sqltide.llm import bpe, embedding, exact, jaccard, langid, packing, substring, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -59,6 +59,14 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.planned(table(spark, sf_dir, "pages")), warc.folder(spark))
+    return warc.read(archives).select(
+        warc.page_of("record").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        "payload_digest", F.col("type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(table(spark, sf_dir, "documents"),
                             tokenizer("word_bpe_49k.json"), end_id=1, most=4096)
@@ -89,6 +97,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
@@ -96,6 +105,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_warc": r"""
+        with p as (
+            select page_id, encode(coalesce(html, '')) as payload from pages),
+        g as (
+            select page_id, payload, octet_length(payload) as n,
+                   max(page_id) over (partition by payload) as first
+            from p)
+        select page_id, n as payload_bytes, sha1(payload) as payload_digest,
+               case when n >= 1000 and first <> page_id then 'revisit' else 'response' end
+                   as record_type,
+               case when n >= 1000 and first <> page_id then first end as refers_to
+        from g""",
     "op10_exact_dedup": r"""
         with t as (
             select doc_id,

@@ -36,7 +36,7 @@ from sqltide.llm.words import ONE, TWO, ranges, window_hashes, word_hashes
 WINDOW = 50
 NO_ID = (1 << 63) - 1
 #: Packed entries in a bucket, at about 12 bytes each.
-PER_BUCKET = 1 << 19
+PER_BUCKET = 1 << 21
 BLOBS = "bucket int, key long, row long, blob binary"
 
 
