@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, embedding, exact, jaccard, langid, packing, substring, toxicity, warc
+from sqltide.llm import bpe, embedding, exact, jaccard, langid, licenses, packing, substring, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"), size=3, percent=90).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -94,6 +98,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_license_scan": op2_license_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
