@@ -12,9 +12,10 @@ import re
 from functools import cache, reduce
 from string import ascii_lowercase, digits
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sqltide.functions.patterns import group_name, usable
 from sqltide.functions.words import (
     BUILTIN_ROUTINES, CLASS_PRIORITY, KEYWORDS_BEFORE_PAREN,
 )
@@ -30,7 +31,7 @@ _LOW_NAME = rf"[{_LOW}{_WIDE}][{_LOW}{digits}{_WIDE}]*+"
 # In the token view a lone double quote stands for a quoted name that is no plain word.
 _WORD = rf'(?:{_LOW_NAME}|")'
 _NO_WORD = rf'[^{_LOW}{_WIDE}"]*+'
-_WORD_STARTS = rf"(?<![{_LOW}])"
+_WORD_STARTS = rf"(?<![{_LOW}{_WIDE}])"
 _WORD_ENDS = rf"(?![{_LOW}{digits}{_WIDE}])"
 _SPACE = r"[ \t\n\r\f\x0B]"
 
@@ -316,8 +317,8 @@ def invokes_any(sql: Column, names) -> Column:
 
 
 def matches_any(sql: Column, patterns) -> Column:
-    """True if any pattern is found in the raw text."""
-    return reduce(lambda acc, p: acc | sql.rlike(p), patterns, F.lit(False))
+    """True if any pattern (RE2 syntax) is found in the raw text; unusable patterns raise."""
+    return reduce(lambda acc, p: acc | sql.rlike(usable(p)), patterns, F.lit(False))
 
 
 # --- leading words ---------------------------------------------------------------------
@@ -386,25 +387,12 @@ def replacement_template(template: str) -> str:
             following = template[m.end():m.end() + 1]
             out.append(f"${name}" + ("\\" if following.isdigit() else ""))
         elif not name[0].isdigit():
-            out.append("${" + name + "}")
+            out.append("${" + group_name(name) + "}")
         at = m.end()
     out.append(re.sub(r"([\\$])", r"\\\1", template[at:]))
     return "".join(out)
 
 
-def pattern_is_valid(pattern: str, replacement: str = "") -> bool:
-    """Whether a user's pattern can be used; look-around and back-references cannot."""
-    if re.search(r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9]", pattern):
-        return False
-    try:
-        SparkSession.active().sql(
-            "SELECT regexp_replace('', :p, :r) AS r",
-            args={"p": pattern, "r": replacement}).collect()
-        return True
-    except Exception:
-        return False
-
-
 def quoted(text: str) -> str:
     """A pattern that matches ``text`` literally."""
     return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)

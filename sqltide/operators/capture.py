@@ -75,9 +75,10 @@ def order_segments(segments: DataFrame, keys=tuple(STREAM), hot_rows: int = scan
 
     The 32-bit sequence is unwrapped along arrival order first. The result stays one row
     per segment with its new bytes (``payload`` without what was seen before): a stream
-    is never gathered into one value. No handshake is needed.
+    is never gathered into one value. No handshake is needed. Where a ``life`` tells
+    connections on the same ports apart, each has a stream of its own.
     """
-    keys = list(keys)
+    keys = [*keys, *(["life"] if "life" in segments.columns and "life" not in keys else [])]
     data = segments.where(F.col("len") > 0)
     end = F.col("stream_seq") + F.col("len")
 

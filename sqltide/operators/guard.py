@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.functions import sqltext
+from sqltide.functions.patterns import usable
 from sqltide.operators import scan
 
 # Patterns of the safeguards.
@@ -64,13 +65,13 @@ def is_external(stripped: Column) -> Column:
 def mask_sql(events: DataFrame, rules) -> DataFrame:
     """Apply (pattern, replacement) pairs in order to ``sql``, inside literals too.
 
-    Adds ``masked``. Rules whose pattern is not valid are left out.
+    Adds ``masked``. Patterns are in RE2 syntax; a rule that can't be used raises, so that no
+    text goes out unmasked because of it.
     """
     events = events.withColumn("masked", F.lit(False))
     for pattern, replacement in rules:
         template = sqltext.replacement_template(replacement)
-        if not sqltext.pattern_is_valid(pattern, template):
-            continue
+        pattern = usable(pattern)
         hit = F.coalesce(F.col("sql").rlike(pattern), F.lit(False))
         events = events.withColumn("__hit", hit).withColumns({
             "masked": F.col("masked") | F.col("__hit"),

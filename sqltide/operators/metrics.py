@@ -16,8 +16,6 @@ ERROR_RATE_LIMIT = 0.01
 P99_RATIO_LIMIT = 2.0
 DROP_RATE_LIMIT = 0.001
 EXEC_BOUNDS = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
-SAMPLE_WINDOW = 100_000
-MAX_DIFFS = 10_000
 
 
 def error_rate(attempts: DataFrame, limit: float = ERROR_RATE_LIMIT,
@@ -61,8 +59,11 @@ def exec_histogram(times: DataFrame) -> DataFrame:
 
 
 def p99_nearest_rank(times: DataFrame, q: float = 0.99,
-                     window: int = SAMPLE_WINDOW) -> DataFrame:
-    """Nearest-rank quantile of the last ``window`` samples per side (0 without samples)."""
+                     window: int | None = None) -> DataFrame:
+    """Nearest-rank quantile of all samples per side, or of the last ``window`` if that is
+    given (0 without samples)."""
+    if window is None:
+        return _rank_of_all(times.where(F.col("seconds") > 0), q)
     recent = scan.last_rows(times.where(F.col("seconds") > 0), "pos", window, ["side"],
                             few_keys=True)
     sides = Window.partitionBy("side")
@@ -76,6 +77,23 @@ def p99_nearest_rank(times: DataFrame, q: float = 0.99,
          .alias(f"{side}_p99") for side in ("source", "target")])
 
 
+def _rank_of_all(times: DataFrame, q: float) -> DataFrame:
+    """The value at the nearest rank: that whose share of smaller ones is half a row less, from
+    counts of values, which tasks combine."""
+    sizes = {r.side: r.n for r in times.where(F.col("side").isin("source", "target"))
+             .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = []
+    for side in ("source", "target"):
+        n = sizes.get(side, 0)
+        at = max(0, min(int(q * (n - 1) + 0.5), n - 1))
+        value = F.lit(0.0)
+        if n:
+            value = F.expr(f"percentile_disc({(at + 0.5) / n!r}) WITHIN GROUP "
+                           f"(ORDER BY CASE WHEN side = '{side}' THEN seconds END)")
+        found.append(F.coalesce(F.max(value) if not n else value, F.lit(0.0)).alias(f"{side}_p99"))
+    return times.agg(*found)
+
+
 def p99_approx(times: DataFrame, q: float = 0.99, accuracy: int = 10_000) -> DataFrame:
     """Quantile over all samples from a mergeable sketch."""
     return times.where(F.col("seconds") > 0).groupBy("side").agg(
@@ -148,8 +166,8 @@ def compare_results(results: DataFrame, slow_threshold: float = 2.0,
     return results.withColumns({"diff_type": kind, "message": message})
 
 
-def diff_summary(compared: DataFrame, max_diffs: int | None = MAX_DIFFS) -> DataFrame:
-    """Counts by type over the stored differences: the first ``max_diffs``, or all."""
+def diff_summary(compared: DataFrame, max_diffs: int | None = None) -> DataFrame:
+    """Counts by type over all differences, or over the first ``max_diffs`` if that is given."""
     diffs = compared.where(F.col("diff_type") != "NONE")
     if max_diffs is not None:
         diffs = scan.first_rows(diffs, "pos", max_diffs)
@@ -186,9 +204,9 @@ def progress(log: DataFrame, started: Column, now: Column, high_watermark: int =
 
 def is_stale(log: DataFrame, started: Column, now: Column, threshold_s: float) -> DataFrame:
     """Whether nothing was produced for longer than the threshold."""
-    last = F.coalesce(F.max(F.when(F.col("kind") == "produced", F.col("ts"))), F.max(started))
-    idle = F.unix_micros(F.max(now)) - F.unix_micros(last)
-    return log.agg((idle > int(threshold_s * 1_000_000)).alias("is_stale"))
+    seen = log.agg(F.max(F.when(F.col("kind") == "produced", F.col("ts"))).alias("last"))
+    idle = F.unix_micros(now) - F.unix_micros(F.coalesce("last", started))
+    return seen.select((idle > int(threshold_s * 1_000_000)).alias("is_stale"))
 
 
 def metric_rows(df: DataFrame, values: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:

@@ -617,6 +617,11 @@ def exec_histogram(spark, sf):
 
 @query
 def p99_nearest_rank(spark, sf):
+    return metrics.p99_nearest_rank(metrics.exec_times(table(spark, sf, "order_results")))
+
+
+@query
+def p99_recent(spark, sf):
     return metrics.p99_nearest_rank(metrics.exec_times(table(spark, sf, "order_results")), window=5000)
 
 
@@ -663,6 +668,12 @@ def match_results(spark, sf):
 
 @query
 def diff_summary(spark, sf):
+    return metrics.diff_summary(
+        metrics.compare_results(table(spark, sf, "order_results")))
+
+
+@query
+def diff_summary_first(spark, sf):
     return metrics.diff_summary(
         metrics.compare_results(table(spark, sf, "order_results")), max_diffs=5000)
 

@@ -219,9 +219,9 @@ _HISTOGRAM = f"""bounds AS (SELECT CAST(b AS DOUBLE) AS b, CAST(b AS VARCHAR) AS
       GROUP BY s.side, le.le)"""
 
 
-def _p99(window: int) -> str:
+def _p99(window: int | None = None) -> str:
     return f"""recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY pos DESC) AS back
-      FROM times WHERE seconds > 0) WHERE back <= {window}),
+      FROM times WHERE seconds > 0) WHERE {f'back <= {window}' if window else 'true'}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY seconds) AS rk,
       count(*) OVER (PARTITION BY side) AS n FROM recent),
     q AS (SELECT coalesce(max(CASE WHEN side = 'source' THEN seconds END), 0.0) AS source_p99,
@@ -235,7 +235,7 @@ def _number(x: str) -> str:
 
 
 ORACLES["metrics_exposition"] = f"""
-WITH {DECIDED}, {_times('order_results')}, {_HISTOGRAM}, {_p99(100_000)},
+WITH {DECIDED}, {_times('order_results')}, {_HISTOGRAM}, {_p99()},
 er AS (SELECT count(*) AS n, count(target_error) AS bad FROM r),
 lines AS (
  SELECT concat('sqltide_classified_total{{class="', stmt_class, '",kept="',
@@ -571,7 +571,8 @@ ORACLES["error_rate"] = f"""
 WITH a AS ({t('attempts')}) SELECT count(*) AS attempts, count(target_error) AS errors,
 count(target_error) / count(*) AS error_rate, count(target_error) / count(*) > 0.01 AS alert FROM a"""
 ORACLES["exec_histogram"] = f"WITH {_times('line_results')}, {_HISTOGRAM} SELECT side, le, n FROM h"
-ORACLES["p99_nearest_rank"] = f"WITH {_times('order_results')}, {_p99(5000)} SELECT * FROM q"
+ORACLES["p99_nearest_rank"] = f"WITH {_times('order_results')}, {_p99()} SELECT * FROM q"
+ORACLES["p99_recent"] = f"WITH {_times('order_results')}, {_p99(5000)} SELECT * FROM q"
 # The sketch may be off by few ranks; the derived times are equal far around this rank.
 ORACLES["p99_approx"] = f"""
 WITH {_times('line_results')} SELECT side, quantile_disc(seconds, 0.99) AS p99 FROM times
@@ -599,6 +600,9 @@ j AS (SELECT coalesce(s.conn_key, x.conn_key) AS conn_key, coalesce(s.event_seq,
 SELECT conn_key, event_seq, presence, CASE WHEN terr IS NOT NULL AND serr IS NULL THEN 'ERROR'
 WHEN se > 0 AND te > se * 2 THEN 'SLOW' ELSE 'NONE' END AS diff_type FROM j"""
 ORACLES["diff_summary"] = f"""
+WITH {_diffs('order_results', 2.0)} SELECT diff_type, count(*) AS n FROM c
+WHERE diff_type <> 'NONE' GROUP BY diff_type"""
+ORACLES["diff_summary_first"] = f"""
 WITH {_diffs('order_results', 2.0)} SELECT diff_type, count(*) AS n FROM
 (SELECT * FROM c WHERE diff_type <> 'NONE' ORDER BY pos LIMIT 5000) GROUP BY diff_type"""
 ORACLES["diff_totals"] = f"""

@@ -43,7 +43,10 @@ def _preview(sql: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    for char, shown in [("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")]:
+    named = {"\\": r"\\", '"': r"\"", "\a": r"\a", "\b": r"\b", "\f": r"\f", "\n": r"\n", "\r": r"\r",
+             "\t": r"\t", "\v": r"\v"}
+    control = {chr(c): f"\\x{c:02x}" for c in (*range(32), 127) if chr(c) not in named}
+    for char, shown in (named | control).items():
         text = F.replace(text, F.lit(char), F.lit(shown))
     return F.concat(F.lit('"'), text, F.lit('"'))
 

@@ -71,6 +71,15 @@ def test_stream_is_put_together_again(spark, split):
     assert {"start", "next", "duplicate", "overlap"} <= {r.status for r in got}
 
 
+def test_lives_on_the_same_ports_are_apart(spark):
+    rows = [("c", True, 0, 1, 1000, 10), ("c", True, 1, 1, 1010, 5), ("c", True, 2, 2, 500, 5),
+            ("c", True, 3, 2, 505, 5)]
+    df = spark.createDataFrame(
+        rows, "conn_key string, from_client boolean, pos long, life long, tcp_seq long, len int")
+    got = capture.order_segments(df).orderBy("pos").collect()
+    assert [r.status for r in got] == ["start", "next", "start", "next"]
+
+
 def test_gaps_are_reported(spark):
     rows = [("c", True, 0, 100, 10), ("c", True, 1, 130, 5), ("c", True, 2, 135, 5)]
     df = spark.createDataFrame(rows, "conn_key string, from_client boolean, pos long, tcp_seq long, len int")

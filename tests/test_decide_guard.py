@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sqltide.functions.patterns import UnusablePattern
 from sqltide.operators import decide, guard
 from sqltide.operators.decide import FilterOptions
 from sqltide.operators.guard import GuardOptions
@@ -112,7 +113,7 @@ def test_users(spark):
 
 
 def test_masking_comes_first_and_reaches_literals(spark):
-    masks = (("'[0-9]{4}-[0-9]{4}'", "'****-****'"), ("(", "broken"),
+    masks = (("'[0-9]{4}-[0-9]{4}'", "'****-****'"),
              (r"'([a-z]+)@[a-z.]+'", "'${1}@***'"))
     got = guarded(spark, ["INSERT INTO p VALUES ('1234-5678', 'bob@x.org')", "SELECT 1",
                           "DROP TABLE a -- '1234-5678'"], mask_patterns=masks, exclude_ddl=True)
@@ -122,6 +123,14 @@ def test_masking_comes_first_and_reaches_literals(spark):
     assert got[0].sql.endswith("'bob@x.org')")
 
 
+def test_masks_in_the_users_syntax_apply_or_raise(spark):
+    got = guarded(spark, ["SELECT '1234567812345678'"], mask_patterns=(
+        ("[[:digit:]]{8}(?P<last_part>[[:digit:]]{8})", "#${last_part}"),))
+    assert got[0].sql_out == "SELECT '#12345678'"
+    with pytest.raises(UnusablePattern):
+        guarded(spark, ["SELECT 1"], mask_patterns=(("(", "broken"),))
+
+
 def test_time_functions(spark):
     stamp, day, time = ("'2026-07-01 10:30:45.123456+00:00'::timestamptz", "'2026-07-01'::date",
                         "'10:30:45.123456+00:00'::timetz")

@@ -234,3 +234,5 @@ def test_progress_and_staleness(spark):
     assert metrics.is_stale(df, start, now, 8.9).first().is_stale
     assert not metrics.is_stale(df, start, now, 9.0).first().is_stale
     assert metrics.is_stale(df.where("kind = 'skipped'"), start, now, 9.5).first().is_stale
+    assert metrics.is_stale(df.where("false"), start, now, 9.5).first().is_stale is True
+    assert metrics.is_stale(df.where("false"), start, now, 10.0).first().is_stale is False

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqltide.functions import sqltext as S
+from sqltide.functions.patterns import UnusablePattern, usable
 from sqltide.functions.params import split_params, zip_params
 
 CASES = [
@@ -132,9 +133,17 @@ def test_user_patterns(spark):
     assert S.replacement_template("$1-${2}$$ \\ $10") == r"$1-$2\$ \\ $10"
     assert S.replacement_template("${1}0") == r"$1\0"
     assert S.replacement_template("${name}$1x") == "${name}"
-    assert S.pattern_is_valid(r"(\d+)-[a-z]{2,}", "$1")
-    assert not S.pattern_is_valid("(")
-    assert not S.pattern_is_valid(r"(?=x)") and not S.pattern_is_valid(r"(a)\1")
+    assert S.replacement_template("${card_no}") == "${gcardU95no}"
+    for pattern, text, hit in [
+            (r"[[:digit:]]{4}", "a 1234", True), (r"^[^[:space:]]+$", "a b", False),
+            (r"(?P<card_no>\d{4})$", "x1234", True), (r"\d$", "1\n", False),
+            (r"(?m)a$", "a\nb", True), (r"[a[&&b]", "[", True), (r"\p{Greek}", "é", False),
+            (r"\Qa.b\E", "axb", False)]:
+        found = spark.range(1).select(S.matches_any(F.lit(text), [pattern]).alias("m")).first().m
+        assert found is hit, pattern
+    for pattern in ("(", r"(?=x)", r"(a)\1", r"(?<!x)y", "a++", r"[[:nope:]]", r"\h", "(?U)a", "[a"):
+        with pytest.raises(UnusablePattern):
+            usable(pattern)
 
 
 @pytest.mark.parametrize("formats, want", [([], [0, 0, 0]), ([1], [1, 1, 1]), ([0, 1], [0, 1, 0])])
