@@ -52,7 +52,7 @@ EDGE = ".,;:!?\"'()[]{}<>|*%&#$-_/\\«»„“”‚‘’¡¿…"
 ENDS = frozenset(".;:!?|")
 #: Lengths of word beginnings that can be learned.
 STEMS = range(3, 9)
-PRIOR = 3.0
+PRIOR = 5.0
 
 
 class Transducer:
