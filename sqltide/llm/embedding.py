@@ -28,8 +28,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,28 +145,28 @@ def filtered(nodes: DataFrame, codewords: int, lists: int) -> DataFrame:
 FILTERED = ["label", "node", "copies", "vector", "length", "filter", "filters"]
 
 
-def compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """A bucket, or two of its blocks: (a, b, links) with each vector's links that no smaller
-    filter has, and edges (a, b) that span their components."""
-    rows = rows.sort_values("node", ignore_index=True)
-    x = unit(unpacked(rows["vector"]))
+def compare(node, copies, vectors, filters, block, here: int, apart: bool, least: float):
+    """A bucket, or two of its blocks (``apart``), of filter ``here``: (a, b, links) with each
+    vector's links that no smaller filter has, and edges (a, b) that span their components."""
+    kind = "<f4" if vectors[0][:1] == b"f" else "<f8"
+    flat = np.frombuffer(b"".join([v[1:] for v in vectors]), kind)
+    x = unit(flat.reshape(len(vectors), -1).astype(np.float64))
     linked = x @ x.T >= least
-    here = int(rows["filter"].iloc[0])
-    lists = [np.frombuffer(f, "<i8") for f in rows["filters"]]
-    lower = [f[f < here] for f in lists]
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f in lower])
-    names, column = np.unique(np.concatenate([*lower, np.zeros(0, np.int64)]), return_inverse=True)
-    has = np.zeros((len(rows), len(names)), dtype=np.float32)
-    has[owner, column] = 1
-    linked &= has @ has.T == 0
     np.fill_diagonal(linked, False)
-    block = rows["block"].to_numpy()
-    if (rows["one"] != rows["two"]).any():
+    if apart:
         linked &= block[:, None] != block[None, :]
-    links = linked @ rows["copies"].to_numpy(np.int64)
-    node = rows["node"].to_numpy()
-    root, fresh = np.arange(len(rows)), np.ones(len(rows), dtype=bool)
-    for k in range(len(rows)):
+    if not linked.any():
+        return None
+    lists = np.frombuffer(b"".join(filters), "<i8")
+    owner = np.repeat(np.arange(len(node)), [len(f) // 8 for f in filters])
+    lower = lists < here
+    names, column = np.unique(lists[lower], return_inverse=True)
+    has = np.zeros((len(node), len(names)), dtype=np.float32)
+    has[owner[lower], column] = 1
+    linked &= has @ has.T == 0
+    links = linked @ copies
+    root, fresh = np.arange(len(node)), np.ones(len(node), dtype=bool)
+    for k in np.flatnonzero(links):
         if not fresh[k]:
             continue
         front = np.array([k])
@@ -176,7 +176,54 @@ def compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
             fresh[front] = False
             root[front] = k
     kept = links > 0
-    return pd.DataFrame({"a": node[root[kept]], "b": node[kept], "links": links[kept]})
+    return node[root[kept]], node[kept], links[kept]
+
+
+def compared(entries: DataFrame, bucket: list[str], least: float) -> DataFrame:
+    """(a, b, links) of all buckets; a partition goes through its own one by one."""
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            rows = batch if tail is None else pa.concat_batches([tail, batch])
+            edges = borders(rows)
+            tail = rows.slice(edges[-2])
+            yield from results(rows, edges[:-1])
+        if tail is not None:
+            yield from results(tail, np.array([0, len(tail)]))
+
+    def borders(rows):
+        change = np.zeros(len(rows) - 1, dtype=bool)
+        for k in range(len(bucket)):
+            change |= differs(rows.column(k))
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [len(rows)]])
+
+    def results(rows, edges):
+        node, copies, block = (rows.column(k).to_numpy().astype(np.int64)
+                               for k in range(len(bucket), len(bucket) + 3))
+        vectors, filters = (rows.column(k).to_pylist() for k in (-2, -1))
+        here, one, two = (rows.column(k).to_numpy() for k in (2, 3, 4))
+        found = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > 1:
+                out = compare(node[a:b], copies[a:b], vectors[a:b], filters[a:b], block[a:b],
+                              int(here[a]), bool(one[a] != two[a]), least)
+                if out:
+                    found.append(out)
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)],
+                ["a", "b", "links"])
+
+    return (entries.select(*bucket, "node", "copies", "block", "vector", "filters")
+            .repartition(*bucket).sortWithinPartitions(*bucket, "node")
+            .mapInArrow(by_bucket, "a long, b long, links long"))
+
+
+def differs(values: pa.Array) -> np.ndarray:
+    """Where an entry differs from the one before it."""
+    return pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(
+        zero_copy_only=False)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
@@ -197,8 +244,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
              .withColumn("block", F.pmod(F.xxhash64("node"), split).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
              .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
-    found = cut(sized.groupBy(*bucket, "one", "two").applyInPandas(
-        lambda pdf: compare(pdf, least), "a long, b long, links long"))
+    found = cut(compared(sized, [*bucket, "one", "two"], least))
     links = found.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("links"))
     copies = groups.select("node", "copies").join(links, "node", "left").join(
         components(found.where("a <> b").select("a", "b")), "node", "left").select(
