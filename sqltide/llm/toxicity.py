@@ -266,9 +266,11 @@ def learn_terms(rows: DataFrame, strength: float = 20.0, most: int = 20_000) ->
     model = Model()
     alone = {r.term[:n] for r in found if r.term[-1] != "*" for n in STEMS
              for s in (stems.get(r.term[:n]),) if s and r.bad >= 0.7 * s}
+    longer = {s[:-1] for s, n in stems.items() if n >= 0.9 * stems.get(s[:-1], math.inf)}
+    dull = alone | longer
     for r in found:
-        if r.term[-1] == "*" and r.term[:-1] in alone:
-            continue  # a beginning that is little more than one word
+        if r.term[-1] == "*" and r.term[:-1] in dull:
+            continue  # a beginning that is little more than one word or one longer beginning
         odds = math.log((r.bad + 0.5) / (bad_docs + 1)) - math.log((r.good + 0.5) / (good_docs + 1))
         if odds > 2:
             place, term = (model.stems, r.term[:-1]) if r.term[-1] == "*" else (model.words, r.term)
