@@ -43,7 +43,7 @@ SHARE = 1 / 1000
 #: Sets over this size index frequent tokens singly; most sets in a list of a combination.
 LARGE, LIST = 2000, 20_000
 #: Tokens counted together in a task; packed entries in a bucket.
-FLUSH, PER_BUCKET = 1 << 22, 1 << 18
+FLUSH, PER_BUCKET = 1 << 21, 1 << 18
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -148,21 +148,27 @@ def block_pairs(signature: np.uint64, blocks: int, key: int) -> np.ndarray:
 
 def indexed(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, size: int, percent: int,
             buckets: int, large: int, most: int) -> DataFrame:
-    """(bucket, blob) of packed entries of (key, text) rows."""
+    """(bucket, blob) of packed entries of (key, row, text) rows; of equal sets in a flush only
+    that with the smallest key is entered."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total = {}, 0
         for batch in batches:
-            for key, tokens in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size),
+            for key, tokens in zip(batch.column(0).to_pylist(), sets_of(batch.column(2), size),
                                    strict=True):
+                if 100 * len(tokens) < percent * (len(tokens) + 1):
+                    continue
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                if digest in held and held[digest][0] <= key:
+                    continue
                 marks, singles = signatures(tokens, frequent, counts, percent, key, large, most)
-                held.append((key, len(tokens), marks, singles))
+                held[digest] = (key, len(tokens), marks, singles)
                 total += len(marks)
-                if total >= FLUSH // 4:
-                    yield flush(held)
-                    held, total = [], 0
-        if held:
-            yield flush(held)
+                if total >= FLUSH // 2:
+                    yield flush(list(held.values()))
+                    held, total = {}, 0
+        if any(len(h[2]) for h in held.values()):
+            yield flush(list(held.values()))
 
     def flush(held):
         keys = np.array([h[0] for h in held], "<i8")
@@ -221,14 +227,25 @@ def lists(packed: DataFrame, percent: int, buckets: int) -> DataFrame:
             .mapInArrow(by_bucket, "list long, kind int, key long, n long"))
 
 
+def may_link(percent: int):
+    """Whether sets of n and m tokens can link that share c single prefix tokens and f
+    combinations: tokens shared otherwise lie beyond the prefix of one of them."""
+    n, m = F.col("n"), F.col("m")
+    shared = F.col("c") + F.when(F.col("f") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("f"))) / 2)) \
+        .otherwise(1)
+    rest = F.greatest(*[x - F.least(x, x - F.ceil(x * percent / 100) + 2) for x in (n, m)])
+    return shared + rest >= F.ceil(percent * (n + m) / (100 + percent))
+
+
 def neighbours(index: DataFrame, percent: int, few: int = 2) -> DataFrame:
-    """(a, b): each set with the ``few`` sets that most often come before it in its lists."""
+    """(a, b): each set with the ``few`` likeliest of those that come before it in its lists."""
     order = Window.partitionBy("list").orderBy("n", "key")
-    pairs = index.select("key", "n", F.lag("key").over(order).alias("other"),
+    pairs = index.select("key", "n", "kind", F.lag("key").over(order).alias("other"),
                          F.lag("n").over(order).alias("m")).where(
         (F.col("key") != F.col("other")) & (100 * F.col("m") >= percent * F.col("n")))
-    counted = pairs.groupBy("key", "other").agg(F.count("*").alias("c"))
-    best = Window.partitionBy("key").orderBy(F.desc("c"), "other")
+    counted = pairs.groupBy("key", "other", "n", "m").agg(
+        F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("f")).where(may_link(percent))
+    best = Window.partitionBy("key").orderBy(F.desc(F.col("c") + F.col("f")), "other")
     return counted.withColumn("place", F.row_number().over(best)).where(
         F.col("place") <= few).select(F.col("key").alias("a"), F.col("other").alias("b"))
 
@@ -283,11 +300,7 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
             .repartition(buckets, "list").sortWithinPartitions("list", "n", "key")
             .mapInArrow(pairs, schema).groupBy("a", "b", "n", "m")
             .agg(F.sum("c").alias("c"), F.sum("f").alias("f")))
-    shared = F.col("c") + F.ceil((1 + F.sqrt(1 + 8 * F.col("f"))) / 2) * (F.col("f") > 0).cast("int")
-    rest = F.greatest(*[F.col(x) - F.least(F.col(x), F.col(x) - F.ceil(F.col(x) * percent / 100) + 2)
-                        for x in ("n", "m")])
-    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    return sums.where(shared + rest >= need).select("a", "b")
+    return sums.where(may_link(percent)).select("a", "b")
 
 
 def _by_list(mark: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -306,8 +319,9 @@ def _summed(a, b, n, m, kind):
             np.add.reduceat(1 - kind, fresh), np.add.reduceat(kind, fresh))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def verified(pairs: DataFrame, rows: DataFrame, searched: DataFrame, size: int,
+             percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their texts."""
 
     @F.arrow_udf("boolean")
     def links(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -318,9 +332,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = cut(sets_for(rows.join(searched.join(wanted, "key"), ["key", "row"]).select(
+        "key", "text"), size))
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(links(F.col("x"), F.col("y"))).select("a", "b")
+    return cut(pairs.join(left, "a").join(right, "b").where(
+        links(F.col("x"), F.col("y"))).select("a", "b"))
 
 
 def sets_for(rows: DataFrame, size: int) -> DataFrame:
@@ -352,22 +370,16 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "do
     frequent, counts = frequent[order], often["n"].to_numpy(np.int64)[order]
     members = cut(attach(full.select("key", "row", "digest"), groups.drop("n"), ["digest"],
                          "copies", known.count()))
-    searched = members.where("key = keep").join(
-        groups.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("digest"), "digest",
-        "left_semi").select("key", "row").distinct()
-    texts = rows.join(searched, ["key", "row"]).select("key", "text")
+    searched = cut(members.where("key = keep").select("key", "row").distinct())
     buckets = max(16, (tokens or 0) * (100 - percent) // 100 // PER_BUCKET)
-    index = cut(lists(indexed(texts, frequent, counts, size, percent, buckets, large, most),
-                      percent, buckets))
-    wanted = index.select("key").distinct()
-    sets = cut(sets_for(rows.join(searched.join(wanted, "key"), ["key", "row"]).select(
-        "key", "text"), size))
-    first = cut(verified(neighbours(index, percent), sets, percent))
-    joined = components(first)
-    second = cut(verified(remaining(index, joined, percent, buckets), sets, percent))
+    index = cut(lists(indexed(rows, frequent, counts, size, percent, buckets, large, most),
+                      percent, buckets).join(searched.select("key").distinct(), "key", "left_semi"))
+    edges = verified(cut(neighbours(index, percent)), rows, searched, size, percent)
+    left = cut(remaining(index, components(edges), percent, buckets))
+    if not left.isEmpty():
+        edges = edges.unionByName(verified(left, rows, searched, size, percent))
     same_id = members.where("key <> keep").select(F.col("keep").alias("a"), F.col("key").alias("b"))
-    edges = first.unionByName(second).unionByName(same_id.distinct())
-    found = components(edges)
+    found = components(edges.unionByName(same_id.distinct()))
     return known.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "row", "n", F.coalesce("component", "key").alias("component"))
 

@@ -339,7 +339,7 @@ def gather(flat, start, codes, counts):
     return flat[where], np.concatenate([[0], ends])[bounds]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20):
+def slices(texts: pa.Array, most_bytes: int = 1 << 19):
     """Lists of texts of about ``most_bytes``; null becomes empty."""
     held, size = [], 0
     for text in texts:
