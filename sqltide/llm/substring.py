@@ -36,7 +36,7 @@ from sqltide.llm.words import ONE, TWO, ranges, window_hashes, word_hashes
 WINDOW = 50
 NO_ID = (1 << 63) - 1
 #: Packed entries in a bucket, at about 12 bytes each.
-PER_BUCKET = 1 << 21
+PER_BUCKET = 1 << 19
 BLOBS = "bucket int, key long, row long, blob binary"
 
 
@@ -95,7 +95,7 @@ class Sender:
     """Entries (hash, more, document, position) of a task.  Flushed: of each hash, the entries of
     one document go to its bucket; what the task's own documents settle comes back at once."""
 
-    def __init__(self, buckets: int, keep: str, most: int = 1 << 21):
+    def __init__(self, buckets: int, keep: str, most: int = 1 << 19):
         self.buckets, self.keep, self.most = buckets, keep, most
         self._clear()
 
@@ -204,6 +204,7 @@ def met(sent: DataFrame, buckets: int, keep: str) -> DataFrame:
                 if bucket != now and blobs:
                     yield settle(blobs)
                     blobs = []
+                    pa.default_memory_pool().release_unused()
                 now = bucket
                 blobs.append(blob.as_py())
         if blobs:
@@ -285,7 +286,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, words = long.agg(F.count("*"), F.sum("n_words")).first()
     status = cut(attach(long, groups, ["digest"], "n", total).select(
         "key", "row", (F.col("key") > F.col("keep")).alias("whole")).distinct())
-    buckets = max(16, (words or 0) // 5 // PER_BUCKET)
+    buckets = max(48, (words or 0) // 5 // PER_BUCKET)
     searched = status.where("not whole").select("key", "row")
     shared = met(anchors(rows.join(searched, ["key", "row"]).select("key", "text"), window, buckets),
                  buckets, "shared")
