@@ -39,7 +39,7 @@ from sqltide.llm.vocabulary import slices
 from sqltide.llm.words import U, mix, window_hashes, word_hashes
 
 #: A token is frequent from this share of documents on.
-SHARE = 1 / 1000
+SHARE = 1 / 4000
 #: Sets over this size index frequent tokens singly; most sets in a list of a combination.
 LARGE, LIST = 2000, 20_000
 #: Tokens counted together in a task; packed entries in a bucket.
@@ -91,7 +91,7 @@ def surveyed(rows: DataFrame, size: int) -> DataFrame:
 
     def frequent(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(3, len(held) * SHARE / 2)
+        often = counts >= max(2, len(held) * SHARE / 2)
         return out(None, None, None, None, tokens[often].view(np.int64), counts[often])
 
     def out(key, row, n, digest, token, count):
@@ -146,13 +146,14 @@ def block_pairs(signature: np.uint64, blocks: int, key: int) -> np.ndarray:
     return mix(signature + mix(pair.astype(U) + U(3)))
 
 
-def indexed(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, size: int, percent: int,
-            buckets: int, large: int, most: int) -> DataFrame:
+def indexed(rows: DataFrame, sent, size: int, percent: int, buckets: int, large: int,
+            most: int) -> DataFrame:
     """(bucket, blob) of packed entries of (key, row, text) rows; of equal sets in a flush only
     that with the smallest key is entered."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = {}, 0
+        frequent, counts = sent.value
         for batch in batches:
             for key, tokens in zip(batch.column(0).to_pylist(), sets_of(batch.column(2), size),
                                    strict=True):
@@ -367,12 +368,13 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "do
              .where(F.col("n") >= max(4, (total or 0) * SHARE / 2)).toPandas())
     frequent = often["token"].to_numpy(np.int64).view(U)
     order = np.argsort(frequent)
-    frequent, counts = frequent[order], often["n"].to_numpy(np.int64)[order]
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (frequent[order], often["n"].to_numpy(np.int64)[order]))
     members = cut(attach(full.select("key", "row", "digest"), groups.drop("n"), ["digest"],
                          "copies", known.count()))
     searched = cut(members.where("key = keep").select("key", "row").distinct())
     buckets = max(16, (tokens or 0) * (100 - percent) // 100 // PER_BUCKET)
-    index = cut(lists(indexed(rows, frequent, counts, size, percent, buckets, large, most),
+    index = cut(lists(indexed(rows, sent, size, percent, buckets, large, most),
                       percent, buckets).join(searched.select("key").distinct(), "key", "left_semi"))
     edges = verified(cut(neighbours(index, percent)), rows, searched, size, percent)
     left = cut(remaining(index, components(edges), percent, buckets))
