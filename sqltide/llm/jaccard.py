@@ -228,12 +228,17 @@ def lists(packed: DataFrame, percent: int, buckets: int) -> DataFrame:
             .mapInArrow(by_bucket, "list long, kind int, key long, n long"))
 
 
+def shared_at_most():
+    """Prefix tokens that c single ones and f combinations of two stand for, at most."""
+    return F.col("c") + F.when(F.col("f") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("f"))) / 2)) \
+        .otherwise(1)
+
+
 def may_link(percent: int):
     """Whether sets of n and m tokens can link that share c single prefix tokens and f
     combinations: tokens shared otherwise lie beyond the prefix of one of them."""
     n, m = F.col("n"), F.col("m")
-    shared = F.col("c") + F.when(F.col("f") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("f"))) / 2)) \
-        .otherwise(1)
+    shared = shared_at_most()
     rest = F.greatest(*[x - F.least(x, x - F.ceil(x * percent / 100) + 2) for x in (n, m)])
     return shared + rest >= F.ceil(percent * (n + m) / (100 + percent))
 
@@ -253,8 +258,10 @@ def neighbours(index: DataFrame, percent: int, few: int = 2) -> DataFrame:
 
 def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(a, b) of all pairs in a list that lie in different components and may link."""
+    own = index.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("f"))
+    most = own.select("key", shared_at_most().alias("most"))
     tagged = index.join(known.select(F.col("node").alias("key"), "component"), "key", "left") \
-        .withColumn("component", F.coalesce("component", "key"))
+        .withColumn("component", F.coalesce("component", "key")).join(most, "key")
     spread = Window.partitionBy("list")
     open_lists = tagged.withColumn(
         "mixed", F.min("component").over(spread) != F.max("component").over(spread)) \
@@ -274,7 +281,8 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
     def paired(rows):
         if not len(rows):
             return
-        mark, kind, key, n, comp = (rows.column(k).to_numpy() for k in range(5))
+        mark, kind, key, n, comp, most = (rows.column(k).to_numpy() for k in range(6))
+        rest = n - np.minimum(n, n - -(-n * percent // 100) + 2)
         ends = np.searchsorted(mark, mark, side="right")
         # By size within the list: the last that is not too large for each.
         last = np.minimum(ends, np.searchsorted(
@@ -289,6 +297,9 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
             left = np.repeat(np.arange(begin, end), size)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
             ok = (comp[left] != comp[right]) & (key[left] != key[right])
+            # What either set has in lists at all must allow a link.
+            ok &= np.minimum(most[left], most[right]) + np.maximum(rest[left], rest[right]) \
+                >= overlap_needed(n[left], n[right], percent)
             left, right = left[ok], right[ok]
             begin = end
             if len(left):
@@ -297,7 +308,7 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
                                                   kind[left])], ["a", "b", "n", "m", "c", "f"])
 
     schema = "a long, b long, n long, m long, c long, f long"
-    sums = (open_lists.select("list", "kind", "key", "n", "component")
+    sums = (open_lists.select("list", "kind", "key", "n", "component", "most")
             .repartition(buckets, "list").sortWithinPartitions("list", "n", "key")
             .mapInArrow(pairs, schema).groupBy("a", "b", "n", "m")
             .agg(F.sum("c").alias("c"), F.sum("f").alias("f")))
