@@ -9,7 +9,9 @@ have a target.  Each clause gives the weight of its best match of each kind; a l
 over these sums scores the document, so what negation or quotation is worth follows from labels.
 
 Fitting takes at most ``sample`` labelled rows of each label, those with the smallest hashes of
-their ids, spread over all rows; near copies among them count once.  Scoring is over whole texts.
+their ids, spread over all rows; near copies among them count once.  In the regression a row weighs
+as many rows of its label as it stands for, so scores follow the mix of all labels, whatever the
+size of the table.  Scoring is over whole texts.
 
 A null or empty text has no clause and the score of a text without any match.  Labels of documents
 that aren't there, null labels and rows with a null id are left out of fitting; of repeated ids
@@ -203,7 +205,8 @@ def score(text: Column, model: Model) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int,
                   id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, label, text) of at most ``sample`` rows of each label, chosen by hash of the id.
+    """(id, label, stands, text) of at most ``sample`` rows of each label, chosen by hash of the
+    id; ``stands`` is the number of usable labels for each chosen one.
 
     The chosen ids are few by construction, so they are sent to the documents, not these to them.
     """
@@ -213,7 +216,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, sample: i
               .groupBy("id").agg(F.max("label").alias("label")))
     chosen = [usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
               for label in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])
+    sizes = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    stands = [max(1.0, sizes.get(label, 0) / sample) for label in (0, 1)]
+    ids = chosen[0].unionByName(chosen[1]).withColumn(
+        "stands", F.when(F.col("label") == 1, stands[1]).otherwise(stands[0]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return texts.where(F.col("text").isNotNull()).join(F.broadcast(ids), "id")
 
@@ -295,25 +301,27 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
         for batch in batches:
             yield pa.array([reader.features(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
-    points = rows.where(~half).select("label", featured(F.col("text")).alias("x")).orderBy(
-        "id").collect()
+    points = rows.where(~half).select(
+        "label", "stands", featured(F.col("text")).alias("x")).orderBy("id").collect()
     rows.unpersist()
     if len({p.label for p in points}) == 2:
         x = np.array([p.x for p in points])
-        model.bias, model.weights = logistic(x, np.array([p.label for p in points]))
+        model.bias, model.weights = logistic(x, np.array([p.label for p in points]),
+                                             np.array([p.stands for p in points]))
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3,
+def logistic(x: np.ndarray, y: np.ndarray, stands: np.ndarray, penalty: float = 0.3,
              rounds: int = 50) -> tuple[float, tuple[float, ...]]:
-    """Logistic regression by Newton's method with a quadratic penalty; classes weigh as they
-    are, kinds of match can't lower a score."""
+    """Logistic regression by Newton's method with a quadratic penalty; rows weigh in proportion
+    to ``stands`` and as much as their number together, kinds of match can't lower a score."""
+    stands = stands / stands.mean()
     x = np.column_stack([np.ones(len(x)), x])
     free, w = np.ones(x.shape[1], dtype=bool), np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - penalty * w * (np.arange(len(w)) > 0)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * penalty
+        slope = x.T @ (stands * (y - p)) - penalty * w * (np.arange(len(w)) > 0)
+        curve = (x * (stands * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * penalty
         step = np.zeros(len(w))
         step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
         w = w + step

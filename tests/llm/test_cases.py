@@ -166,6 +166,31 @@ def test_toxicity_learns_and_reads_clauses(spark, nothing):
     assert run([t.THREAT, t.TARGET])[-1] == t.MENACE and t.MENACE not in run([t.THREAT])
 
 
+def test_toxicity_follows_the_mix_of_all_labels(spark):
+    """A table many times larger than the sample gives like scores as one that fits in it."""
+
+    def table(n):
+        rng = np.random.default_rng(11)
+        rows = []
+        for k in range(n):
+            text = " ".join(f"n{x}" for x in rng.integers(0, 2000, 40))
+            bad = k % 10 == 0
+            marked = rng.random() < (0.8 if bad else 0.05)
+            rows.append((k, f"{text}. you zorgle now" if marked else text, int(bad)))
+        return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    few, many = table(800), table(8000)
+    scores = []
+    for rows in (few, many):
+        model = toxicity.fit(rows, rows, F.lit(True), sample=800)
+        reader = toxicity.Reader(model)
+        scores.append([reader.score(t) for t in ("n1 n2. you zorgle now " + "n3 " * 38, "n1 " * 40)])
+    assert toxicity.fit(many, many, F.lit(True), sample=800).words.get("zorgle")
+    mean = np.mean([r.toxicity for r in toxicity.scored(many, model).collect()])
+    assert 0.08 < mean < 0.12
+    assert np.allclose(*scores, atol=0.12)
+
+
 def test_embeddings_equal_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 32))
