@@ -55,6 +55,8 @@ ENDS = frozenset(".;:!?|")
 #: Lengths of word beginnings that can be learned.
 STEMS = range(3, 9)
 PRIOR = 5.0
+#: Terms in a batch of counts.
+TERMS = 50_000
 
 
 class Transducer:
@@ -242,7 +244,10 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def learn_terms(rows: DataFrame, strength: float = 20.0, most: int = 20_000) -> Model:
-    """Words and beginnings by their log-likelihood ratio with the label, over (label, text)."""
+    """Words and beginnings by their log-likelihood ratio with the label, over (label, text).
+
+    Each task gives all its terms with both counts, as only their sums tell which are rare among
+    clean rows; the rows are a bounded sample, so the terms are too."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -251,10 +256,12 @@ def learn_terms(rows: DataFrame, strength: float = 20.0, most: int = 20_000) ->
                 words = {t.strip(EDGE) for t in text.as_py().lower().split()}
                 terms = {w[:n] + "*" for w in words for n in STEMS if n <= len(w)}
                 counts[label.as_py()].update(terms | words)
-        terms = list(counts[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *terms]), pa.array([0, *(counts[1][t] for t in terms)], pa.int64()),
-             pa.array([0, *(counts[0][t] for t in terms)], pa.int64())], ["term", "bad", "good"])
+        terms = list(counts[0] | counts[1])
+        for first in range(0, len(terms), TERMS):
+            part = terms[first:first + TERMS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), *(pa.array([counts[label][t] for t in part], pa.int64())
+                                   for label in (1, 0))], ["term", "bad", "good"])
 
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad_docs, good_docs = sizes.get(1, 0), sizes.get(0, 0)

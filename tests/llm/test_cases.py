@@ -191,6 +191,18 @@ def test_toxicity_follows_the_mix_of_all_labels(spark):
     assert np.allclose(*scores, atol=0.12)
 
 
+def test_toxicity_terms_do_not_depend_on_partitions(spark):
+    rows = []
+    for k in range(200):
+        text = f"u{k} v{k}"
+        text += " plain" if k % 4 < 2 else ""  # as often toxic as not
+        rows.append((k % 2, text + " zorgle" if k % 2 else text))
+    models = [toxicity.learn_terms(spark.createDataFrame(
+        spark.sparkContext.parallelize(rows, n), "label int, text string")) for n in (1, 200)]
+    assert models[0] == models[1]
+    assert "zorgle" in models[1].words and "plain" not in models[1].words
+
+
 def test_embeddings_equal_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 32))
