@@ -2,10 +2,13 @@
 
 Documents become token ids and an end id; longer ones are cut into full pieces and a rest.  The
 pieces are dealt over partitions of about ``PER_PARTITION`` pieces, and each partition packs its
-own by best-fit decreasing.  Lower bounds by dual feasible functions certify a partition's number
-of sequences.  Then partitions exchange: each gives up its loosest sequences, ``FAN`` partitions
-pool theirs, pack the pool anew, and keep the better of the two results, again and again until one
-pool is left.  So only the ends of partitions move, never all pieces, and a pool stays small.
+own by best-fit decreasing.  Lower bounds by dual feasible functions certify each partition's
+number of sequences and that of the whole.  Then partitions exchange in rounds.  A partition that
+meets its bound keeps all sequences but those with over a 64th of their room left; one with a gap
+keeps only its full ones.  All others, however many, are dealt anew over pools of about
+``PER_PARTITION`` pieces; each pool is packed anew unless its bound certifies it, and the better of
+old and new stays.  Rounds end when the bound of the whole is met, after a round of a single pool,
+or when two rounds in a row have each closed less than a hundredth of the gap to that bound.
 
 A null text counts as empty and still has its end id.  Rows repeated with the same id, or with a
 null id, are packed each on its own.  An empty table gives no rows.  Other columns are not read.
@@ -26,8 +29,6 @@ from sqltide.llm.shared import cut
 from sqltide.llm.vocabulary import encoder, slices
 
 PER_PARTITION = 4096
-#: Partitions that pool their loosest sequences, and how many each gives up at most.
-FAN, LOOSEST = 8, 64
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", offset long, level int, part long, bin long, loose boolean"
 
@@ -102,9 +103,13 @@ def lower_bound(lengths: np.ndarray, room: int) -> int:
     The first counts lengths above ``room - e`` as whole bins and drops those under ``e``; the
     second rounds each length down to multiples of ``room / (k + 1)``, scaled by ``1 / k``.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=room + 1), room)
+
+
+def bound_of_counts(count: np.ndarray, room: int) -> int:
+    """The lower bound from the number of pieces of each length."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=room + 1)
     number = np.concatenate([[0], np.cumsum(count)])
     weight = np.concatenate([[0], np.cumsum(count * np.arange(room + 1))])
     e = np.arange(0, room // 2 + 1)
@@ -122,19 +127,34 @@ def lower_bound(lengths: np.ndarray, room: int) -> int:
 def pack(pieces: DataFrame, room: int = 4096, per_partition: int = PER_PARTITION) -> DataFrame:
     """``pieces`` with sequence_id and offset; each sequence is gapless and at most ``room``."""
     pieces = cut(pieces)
-    parts = max(1, -(-pieces.count() // per_partition))
+    count = np.zeros(room + 1, dtype=np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r.length] = r["count"]
+    least, parts = bound_of_counts(count, room), max(1, -(-int(count.sum()) // per_partition))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(parts)))
     placed = cut(dealt.groupBy("part").applyInPandas(lambda rows: packed(rows, room), PLACED))
-    settled, level = [], 0
-    while parts > 1:
-        level += 1
-        parts = -(-parts // FAN)
+    settled, level, idle = [], 0, 0
+    had = made = 0
+    while parts > 1 and idle < 2:
+        now = placed.agg(F.count_if(F.col("offset") == 0).alias("bins"),
+                         F.count_if("loose").alias("loose"),
+                         F.count_if(F.col("loose") & (F.col("offset") == 0)).alias("loose_bins")).first()
+        if level:
+            idle = idle + 1 if (had - now.bins) * 100 < made - least or had == now.bins else 0
+            made -= had - now.bins
+        else:
+            made = now.bins
+        if made <= least or now.loose_bins < 2 or idle == 2:
+            break
+        had, level = now.loose_bins, level + 1
+        parts = -(-now.loose // per_partition)
         settled.append(placed.where("not loose"))
-        pool = placed.where("loose").withColumn("pool", F.floor(F.col("part") / FAN))
+        pool = placed.where("loose").withColumn("pool", F.pmod(
+            F.xxhash64("level", "part", "bin", F.lit(level)), F.lit(parts)))
         placed = cut(pool.groupBy("pool").applyInPandas(_at(level, room), PLACED))
     for rows in settled:
         placed = placed.unionByName(rows)
-    number = F.shiftleft(F.col("level").cast("long"), 56) + F.shiftleft("part", 20) + F.col("bin")
+    number = F.shiftleft(F.col("level").cast("long"), 52) + F.shiftleft("part", 20) + F.col("bin")
     return placed.select("id", "piece", "start", "length", "ids_crc32",
                          number.alias("sequence_id"), "offset")
 
@@ -150,7 +170,7 @@ def packed(rows: pd.DataFrame, room: int) -> pd.DataFrame:
 
 
 def repacked(pool: pd.DataFrame, room: int, level: int) -> pd.DataFrame:
-    """Loose sequences of several partitions: packed anew unless the bound certifies them, and
+    """Open sequences of several partitions: packed anew unless the bound certifies them, and
     as they were if that saves none."""
     pool = pool.sort_values(["length", "id", "piece", "ids_crc32"], ignore_index=True)
     lengths = pool["length"].to_numpy()
@@ -164,8 +184,8 @@ def repacked(pool: pd.DataFrame, room: int, level: int) -> pd.DataFrame:
 
 
 def _placed(rows: pd.DataFrame, bins: np.ndarray, room: int) -> pd.DataFrame:
-    """Places within bins, and the loosest bins marked for exchange: those with over a
-    sixty-fourth of their room left, ``LOOSEST`` at most."""
+    """Places within bins, and the bins marked for exchange: if the bound certifies their number,
+    those with over a sixty-fourth of their room left, else all that aren't full."""
     lengths = rows["length"].to_numpy()
     left = room - np.bincount(bins, lengths).astype(np.int64)
     order = np.argsort(bins, kind="stable")
@@ -174,7 +194,5 @@ def _placed(rows: pd.DataFrame, bins: np.ndarray, room: int) -> pd.DataFrame:
     base = np.repeat((ends - lengths[order])[first], np.diff(first, append=len(order)))
     offset = np.empty(len(rows), dtype=np.int64)
     offset[order] = ends - lengths[order] - base
-    loose = np.zeros(len(left), dtype=bool)
-    loosest = np.argsort(-left, kind="stable")[:LOOSEST]
-    loose[loosest] = left[loosest] > room // 64
+    loose = left > (room // 64 if len(left) <= lower_bound(lengths, room) else 0)
     return rows.assign(offset=offset, bin=bins, loose=loose[bins])

@@ -295,6 +295,18 @@ def test_packing(docs, nothing):
     assert packing.pack(packing.pieces(nothing, WORD, 1)).count() == 0
 
 
+def test_packing_exchanges_as_many_sequences_as_it_takes(spark):
+    """Two partitions, one of long pieces and one of short ones, that only fill each other."""
+    rows = [(i, 0, 0, n, k) for i, n in ((None, 60), (0, 40)) for k in range(400)]
+    table = spark.createDataFrame(rows, packing.PIECES)
+    placed = packing.pack(table, room=100, per_partition=500).toPandas()
+    assert len(placed) == 800
+    ends = placed.groupby("sequence_id")["length"].sum()
+    assert ends.max() <= 100 and (placed["offset"] + placed["length"]).max() <= 100
+    assert packing.lower_bound(placed["length"].to_numpy(), 100) == 400
+    assert len(ends) <= 440
+
+
 def test_lower_bound_is_a_bound():
     rng = np.random.default_rng(1)
     for _ in range(200):
