@@ -6,7 +6,9 @@ for in windows of 3w/2 shingles that begin at every w/2, so it lies wholly in on
 window in which at least four fifths of it occur has a Jaccard similarity of at least a quarter
 with it.  With ``BANDS`` = 32 bands of one minimum each, such a pair collides in some band with
 probability 1 - 0.75 ** 32 > 0.9998.  Each collision is verified: the share of the template's
-shingles that the window holds must reach ``least``.
+shingles that the window holds must reach ``least``.  Where templates of different licenses match
+at one place, a match gives way to a better one (higher containment, or equal and longer) whose
+span covers at least half of its own.
 
 A band can only collide in a window that holds the shingle whose hash is the template's minimum,
 so documents without any such shingle are left out before windows are made; this loses nothing.
@@ -54,6 +56,44 @@ TEMPLATES = (
                 "v. 2.0."),
 )
 
+_GNU = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of "
+        "the GNU {2} as published by the Free Software Foundation{3} either version {4} of the "
+        "License, or (at your option) any later version.")
+_DISCLAIMER = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+               "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+               "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. ")
+# Further families and versions.
+TEMPLATES += tuple((name, _GNU.format(thing, ":", title, ",", version))
+                   for thing in ("program", "library")
+                   for name, title, version in (
+                       ("gpl-2.0", "General Public License", "2"),
+                       ("gpl-3.0", "General Public License", "3"),
+                       ("lgpl-2.1", "Lesser General Public License", "2.1"),
+                       ("lgpl-3.0", "Lesser General Public License", "3"),
+                       ("agpl-3.0", "Affero General Public License", "3"))) + (
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+            "or without fee is hereby granted, provided that the above copyright notice and this "
+            "permission notice appear in all copies."),
+    ("bsd-2-clause", _BSD + _DISCLAIMER),
+    ("bsd-3-clause", _BSD + "3. Neither the name of the copyright holder nor the names of its "
+                     "contributors may be used to endorse or promote products derived from this "
+                     "software without specific prior written permission. " + _DISCLAIMER),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone "
+                  "is free to copy, modify, publish, use, compile, sell, or distribute this "
+                  "software, either in source code form or as a compiled binary, for any purpose, "
+                  "commercial or non-commercial, and by any means."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
+                     "International License."),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+                     "International License."),
+)
+
 
 def words(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " "))
@@ -110,18 +150,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     windows = F.flatten(F.array(*[_places(size) for size in sizes])) if sizes \
         else F.expr("cast(null as array<struct<size int, at int>>)")
     cut_up = open_rows.select("id", "parts", F.explode_outer(windows).alias("w")).select(
-        "id", "w.size", "w.at", F.array_distinct(F.slice(
-            "parts", F.col("w.at") + 1, F.ceil(F.col("w.size") * 3 / 2).cast("int"))).alias("window"))
-    banded = cut_up.select("id", "size", "at", "window", F.posexplode_outer(
+        "id", F.xxhash64("parts").alias("doc"), "w.size", "w.at", F.slice(
+            "parts", F.col("w.at") + 1, F.ceil(F.col("w.size") * 3 / 2).cast("int")).alias("window"))
+    banded = cut_up.select("id", "doc", "size", "at", "window", F.posexplode_outer(
         bound(F.col("window"), minima)).alias("band", "least"))
     asked = few.select("template", "license", "parts", "size",
                        F.posexplode("minima").alias("band", "least"))
     met = banded.join(F.broadcast(asked), ["size", "band", "least"])
-    share = F.size(F.array_intersect("parts", "window")) / F.size("parts")
-    return (met.withColumn("containment", share).where(F.col("containment") >= least)
-            .groupBy("id", "template", "license").agg(
-                F.max("containment").alias("containment"), F.min("at").alias("first_word"),
-                F.count_distinct("at").alias("places")))
+    common = F.array_intersect("window", "parts")  # in the window's order
+    matches = (met.withColumn("common", common)
+               .withColumn("containment", F.size("common") / F.size("parts"))
+               .where(F.col("containment") >= least)
+               .select("id", "doc", F.struct(
+                   "containment", F.size("parts").alias("n"), "template", "license", "at",
+                   (F.col("at") + F.array_position("window", F.get("common", F.lit(0)))).alias("a"),
+                   (F.col("at") + F.array_position("window", F.element_at("common", -1))).alias("b"),
+               ).alias("m")).groupBy("id", "doc").agg(F.collect_set("m").alias("all")))
+    stay = matches.select("id", F.explode(F.filter("all", lambda m: ~F.exists(
+        "all", lambda o: _gives_way(m, o)))).alias("m")).select("id", "m.*")
+    return stay.groupBy("id", "template", "license").agg(
+        F.max("containment").alias("containment"), F.min("at").alias("first_word"),
+        F.count_distinct("at").alias("places"))
+
+
+def _gives_way(m: Column, o: Column) -> Column:
+    """Match ``m`` is of another license than ``o``, which is better and covers half of it."""
+    better = (o["containment"] > m["containment"]) | (
+        (o["containment"] == m["containment"]) & (o["n"] > m["n"]))
+    both = F.least(m["b"], o["b"]) - F.greatest(m["a"], o["a"]) + 1
+    return (m["license"] != o["license"]) & better & (2 * both >= m["b"] - m["a"] + 1)
 
 
 def _places(size: int) -> Column:

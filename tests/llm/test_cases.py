@@ -86,6 +86,24 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0 and licenses.scan(rows, templates=()).count() == 0
 
 
+def test_licenses_tell_relatives_apart(spark):
+    gnu = ("This program is free software; you can redistribute it and/or modify it under the terms "
+           "of the GNU {} General Public License as published by the Free Software Foundation; either "
+           "version {} of the License, or (at your option) any later version.")
+    want = [(gnu.format(kind, version), name) for kind, version, name in (
+        ("", "2", "gpl-2.0"), ("", "3", "gpl-3.0"), ("Lesser", "2.1", "lgpl-2.1"),
+        ("Lesser", "3", "lgpl-3.0"), ("Affero", "3", "agpl-3.0"))]
+    want += [(text, name) for name, text in licenses.TEMPLATES
+             if name in ("isc", "unlicense")]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)],
+                                 "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(rows).collect():
+        found.setdefault(r.id, set()).add(r.license)
+    assert [name in found.get(k, ()) for k, (_, name) in enumerate(want)] == [True] * len(want)
+    assert [found[k] for k in range(5)] == [{name} for _, name in want[:5]]
+
+
 def test_jaccard_cases(spark, docs, nothing):
     rows = jaccard.report(docs).collect()
     assert len(rows) == len(ROWS)
