@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltide.llm import bpe, embedding, exact, jaccard, langid, licenses, packing, substring, toxicity, warc
+from sqltide.llm import (bpe, embedding, exact, jaccard, langid, licenses, oracle_sql, packing,
+                         secrets, substring, toxicity, warc)
 
 
 def tokenizer(name: str) -> str:
@@ -96,6 +97,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = found.select("id", "spans", F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+                        .alias("base"))
+    counted = lambda kind: F.size(F.filter(
+        "base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return base.select(
+        F.col("id").alias("doc_id"), *[counted(k) for k in secrets.BASE],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
@@ -107,6 +120,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 ORACLES = {
@@ -132,4 +146,5 @@ ORACLES = {
                doc_id = min(doc_id) over (partition by norm) as kept,
                sha256(norm) as text_sha256
         from t""",
+    "op11_secret_scan": oracle_sql.secret_scan(),
 }
