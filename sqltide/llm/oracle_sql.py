@@ -9,6 +9,68 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: A table of the 256 bytes' remainders, by the rule of the reversed polynomial 0xEDB88320.
+CRC_TABLE = """
+        select list(list_reduce(list_concat([cast(i as ubigint)], list_transform(range(8), lambda k: cast(0 as ubigint))),
+                    lambda x, k: xor(x >> 1, (x & 1) * 3988292384)) order by i) as tab
+        from range(256) as r(i)"""
+
+
+def crc32(text: str) -> str:
+    """crc32 of a text of characters up to U+00FF in UTF-8, given a list ``tab``."""
+    parts = (f"flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 "
+             "then [cast(unicode(c) as ubigint)] else [cast(192 + (unicode(c) >> 6) as ubigint), "
+             "cast(128 + (unicode(c) & 63) as ubigint)] end))")
+    return (f"xor(list_reduce(list_concat([cast(4294967295 as ubigint)], {parts}), "
+            "lambda c, b: xor(c >> 8, tab[cast((xor(c, b) & 255) + 1 as bigint)])), 4294967295)")
+
+
+def conversation_trie() -> str:
+    """Prefixes as joined digests; every node meets all nodes above it."""
+    return f"""
+        with crc as ({CRC_TABLE}),
+        t as (select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '')
+                                  || coalesce(text, '')) as digest,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words,
+                     turn
+              from conversations where conv_id is not null),
+        placed as (select conv_id, digest, words, row_number() over (
+                       partition by conv_id order by turn nulls first, digest) as place from t),
+        plans as (select conv_id, had, cast({crc32("cast(conv_id as varchar)")} % 4 as bigint) as head
+                  from (select conv_id, max(place) as had from placed group by conv_id), crc),
+        taken as (select p.conv_id, p.had, p.head, p.conv_id - p.conv_id % 20 as base,
+                         least(p.head, coalesce(b.had, 0)) as taken
+                  from plans p left join plans b on b.conv_id = p.conv_id - p.conv_id % 20),
+        rebuilt as (
+            select k.conv_id, p.place - k.head + k.taken as depth, digest, words
+            from taken k join placed p on p.conv_id = k.conv_id and p.place > k.head union all
+            select k.conv_id, p.place, digest, words
+            from taken k join placed p on p.conv_id = k.base and p.place <= k.taken),
+        paths as (
+            select conv_id, depth, words,
+                   md5(string_agg(digest, ',') over (partition by conv_id order by depth)) as node
+            from rebuilt union all
+            select conv_id, 0, 0, '' from taken),
+        ends as (select conv_id, max_by(node, depth) as node from paths group by conv_id),
+        above as (select a.*, coalesce(lag(node) over (partition by conv_id order by depth), null)
+                              as parent from paths a),
+        nodes as (select node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                         any_value(parent) as parent, (count(*) - 1) * max(words) as saved
+                  from above group by node, depth),
+        kids as (select n.*, (select count(*) from nodes c where c.parent = n.node
+                              and c.depth = n.depth + 1) as n_children from nodes n),
+        under as (select p.node, p.depth, count(*) filter (n_children = 0) as n_leaves,
+                         sum(saved) as saved_tokens
+                  from kids k join paths p on p.conv_id = k.conv_id and p.depth <= k.depth
+                  group by p.node, p.depth),
+        told as (select node, string_agg(conv_id, ',' order by conv_id) as ids from ends group by node)
+        select k.conv_id, cast(k.depth as bigint) as depth, u.conv_id as parent_conv_id, k.n_convs,
+               k.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens,
+               sha256(coalesce(ids, '')) as ends_sha256
+        from kids k join under using (node, depth) left join told using (node)
+        left join nodes u on u.node = k.parent and u.depth = k.depth - 1"""
+
+
 def secret_scan() -> str:
     """Positions by summing up what lies between matches; every window's counts by themselves."""
     # The plain patterns: whole runs are the leftmost longest matches here, and letters in either

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltide.llm import (bpe, embedding, exact, jaccard, langid, licenses, oracle_sql, packing,
-                         secrets, substring, toxicity, warc)
+                         prefix_trie, secrets, substring, toxicity, warc)
 
 
 def tokenizer(name: str) -> str:
@@ -109,6 +109,15 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
+    own, lengths = prefix_trie.rebuilt(
+        turns, shared=remainder("conv", 4), base=F.col("conv") - F.col("conv") % 20, most=3)
+    return prefix_trie.trie(own, lengths).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"),
+        "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
@@ -121,6 +130,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES = {
@@ -147,4 +157,5 @@ ORACLES = {
                sha256(norm) as text_sha256
         from t""",
     "op11_secret_scan": oracle_sql.secret_scan(),
+    "op12_conversation_trie": oracle_sql.conversation_trie(),
 }
