@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqltide.llm import secrets
+from sqltide.llm import secrets, spelling
 
 
 def quoted(text: str) -> str:
@@ -71,6 +71,45 @@ def conversation_trie() -> str:
         left join nodes u on u.node = k.parent and u.depth = k.depth - 1"""
 
 
+def spelling_variants() -> str:
+    """Near words meet by what is left of both without one letter."""
+    return f"""
+        with recursive crc as ({CRC_TABLE}),
+        runs as (select coalesce(cast(doc_id as varchar), '') as id,
+                        translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{5,}}')),
+                                  '{spelling.UPPER}', '{spelling.LOWER}') as run
+                 from documents),
+        hashed as (select run, k, cast({crc32("id || ':' || run")} as bigint) as h
+                   from (select id, run, count(*) as k from runs group by id, run), crc),
+        read as (select k, case when h % 97 = 0
+                     then substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2)
+                     else run end as word from hashed),
+        words as (select word, cast(sum(k) as bigint) as n from read where length(word) >= 5
+                  group by word having sum(k) >= 3),
+        less as (select word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) as rest
+                 from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+        near as (select a.word, a.n, b.word as other, b.n as other_n
+                 from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+                 union
+                 select a.word, a.n, b.word, b.n from less a join words b on a.rest = b.word
+                 union
+                 select b.word, b.n, a.word, a.n from less a join words b on a.rest = b.word),
+        best as (select word, count(*) as n_near, max(other_n) as best_n,
+                        min(other) filter (other_n = top) as best
+                 from (select *, max(other_n) over (partition by word) as top from near)
+                 group by word),
+        told as (select w.word, w.n, coalesce(n_near, 0) as n_near,
+                        case when best_n >= 2 * n then best end as form,
+                        case when best_n >= 2 * n then best_n end as form_n
+                 from words w left join best using (word)),
+        chain as (select word, word as at from told union all
+                  select c.word, t.form from chain c join told t on t.word = c.at
+                  where t.form is not null),
+        ends as (select c.word, c.at as root from chain c join told t on t.word = c.at
+                 where t.form is null)
+        select word, form, root, n, n_near, form_n from told join ends using (word)"""
+
+
 def secret_scan() -> str:
     """Positions by summing up what lies between matches; every window's counts by themselves."""
     # The plain patterns: whole runs are the leftmost longest matches here, and letters in either

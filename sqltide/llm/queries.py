@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltide.llm import (bpe, embedding, exact, jaccard, langid, licenses, oracle_sql, packing,
-                         prefix_trie, secrets, substring, toxicity, warc)
+                         prefix_trie, secrets, spelling, substring, toxicity, warc)
 
 
 def tokenizer(name: str) -> str:
@@ -118,6 +118,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.concat(F.col("id"), F.lit(":"), F.col("run")).cast("binary"))
+    dropped = F.when(h % 97 == 0, (h % F.length("run")).cast("int"))
+    return spelling.variants(spelling.vocabulary(
+        table(spark, sf_dir, "documents"), least_length=5, least_count=3, dropped=dropped))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
@@ -131,6 +138,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_secret_scan": op11_secret_scan,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -158,4 +166,5 @@ ORACLES = {
         from t""",
     "op11_secret_scan": oracle_sql.secret_scan(),
     "op12_conversation_trie": oracle_sql.conversation_trie(),
+    "op13_spelling_variants": oracle_sql.spelling_variants(),
 }
