@@ -253,7 +253,8 @@ def around(marked: DataFrame, window: int, buckets: int) -> DataFrame:
             blobs, at = rows.column(3), 0
             for texts in slices(rows.column(2)):
                 hashes, bounds = word_hashes(texts)
-                one, two = window_hashes(hashes, window), window_hashes(hashes, window, TWO)
+                one = window_hashes(hashes, window)
+                two = window_hashes(word_hashes(texts, kind=1)[0], window, TWO)
                 for k in range(len(texts)):
                     anchor = np.frombuffer(b"".join(blobs[at + k].as_py()), "<u4").astype(int)
                     n = int(bounds[k + 1] - bounds[k]) - window + 1

@@ -1,10 +1,14 @@
 """Hashes of the words of many texts at once, from their bytes; no loop over words.
 
-A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``.
+A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``.  Short words are hashed by a sum over
+their letters; a sum of many letters can be made to collide, so words over ``SHORT`` bytes get a
+keyed BLAKE2 digest instead.  Two kinds of hash that have nothing in common are on offer.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -21,9 +25,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-VALUES = mix(np.arange(1, 257, dtype=U))
-LOWERED = VALUES.copy()
-LOWERED[ord("A"):ord("Z") + 1] = VALUES[ord("a"):ord("z") + 1]
+#: Bytes up to which a word is hashed by its sum.
+SHORT = 64
+
+
+def _values(first: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, and the same with A-Z taken as a-z."""
+    plain = mix(np.arange(first, first + 256, dtype=U))
+    lowered = plain.copy()
+    lowered[ord("A"):ord("Z") + 1] = plain[ord("a"):ord("z") + 1]
+    return plain, lowered
+
+
+VALUES = (_values(1), _values(1001))
 
 
 class Powers:
@@ -40,11 +54,12 @@ class Powers:
             self.down = np.multiply.accumulate(np.r_[U(1), np.full(size - 1, self.inverse, U)])
 
 
-LETTER, ONE, TWO = (Powers(b) for b in (
-    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+LETTERS = (Powers(0x9E3779B97F4A7C15), Powers(0xD1B54A32D192ED03))
+ONE, TWO = Powers(0xC2B2AE3D27D4EB4F), Powers(0x165667B19E3779F9)
 
 
-def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], lower: bool = False,
+                kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and where each text's words begin (one entry more than texts)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
@@ -56,10 +71,15 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
         return np.zeros(0, dtype=U), np.zeros(len(texts) + 1, dtype=np.int64)
     sizes = end - begin
     first = np.cumsum(sizes) - sizes
-    LETTER.reach(int(sizes.max()) + 1)
+    powers = LETTERS[kind]
+    powers.reach(SHORT)
     place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    values = (LOWERED if lower else VALUES)[data[inside]] * LETTER.up[place]
+    values = VALUES[kind][lower][data[inside]] * powers.up[np.minimum(place, SHORT - 1)]
     hashes = mix(np.add.reduceat(values, first) + sizes.astype(U))
+    for k in np.flatnonzero(sizes > SHORT):
+        word = data[begin[k]:end[k]].tobytes()
+        hashes[k] = np.frombuffer(hashlib.blake2b(
+            word.lower() if lower else word, digest_size=8, key=bytes([kind])).digest(), "<u8")[0]
     bounds = np.searchsorted(begin, np.concatenate([[0], ends]))
     return hashes, bounds.astype(np.int64)
 
