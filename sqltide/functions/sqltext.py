@@ -2,8 +2,8 @@
 
 Every function takes and returns a ``Column`` and runs inside the JVM. Statement texts
 can be large, so each pattern uses possessive repetition: matching stays linear and
-does not use the thread's stack. Patterns that follow nesting carry a level count;
-``COMMENT_LEVELS`` and ``PAREN_LEVELS`` are the deepest nesting one pattern follows.
+does not use the thread's stack. Patterns follow no nesting; where a text may nest comments
+or parentheses, it is cut into pieces and folded with a depth as state (``nesting``).
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from string import ascii_lowercase, digits
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sqltide.functions import nesting
+from sqltide.functions.nesting import let
 from sqltide.functions.patterns import group_name, usable
 from sqltide.functions.words import (
     BUILTIN_ROUTINES, CLASS_PRIORITY, KEYWORDS_BEFORE_PAREN,
 )
 
-COMMENT_LEVELS = 16
-PAREN_LEVELS = 12
-
 _WIDE = r"\x{80}-\x{10FFFF}"
 _NAME = rf"[A-Za-z_{_WIDE}][A-Za-z0-9_{_WIDE}]*+"
 # Lower-case text is matched by listed characters, which the regex engine looks up at once.
@@ -36,14 +35,8 @@ _WORD_ENDS = rf"(?![{_LOW}{digits}{_WIDE}])"
 _SPACE = r"[ \t\n\r\f\x0B]"
 
 
-def _nested_comment(levels: int) -> str:
-    pattern = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
-    for _ in range(levels - 1):
-        pattern = rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{pattern})*+(?:\*/|\z)"
-    return pattern
-
-
-_COMMENT = rf"--[^\n]*+|{_nested_comment(COMMENT_LEVELS)}"
+# Without a comment inside; nested ones are taken out before.
+_COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 
 # Comments vanish, a literal leaves its opening sign, a quoted plain word loses its quotes.
 _TOKENS = "|".join([
@@ -63,54 +56,19 @@ _LITERAL = "|".join([
 ])
 
 
-def _balanced(levels: int) -> str:
-    pattern = r"\([^()]*+\)"
-    for _ in range(levels - 1):
-        pattern = rf"\((?:[^()]++|{pattern})*+\)"
-    return pattern
-
-
-_BALANCED = _balanced(PAREN_LEVELS)
-
-
-def _token_statement() -> str:
-    """One statement of a token view, which has no literals or comments."""
-    group = r"\([^)]*+(?:\)|\z)"
-    for _ in range(PAREN_LEVELS - 1):
-        group = rf"\((?:[^()]++|{group})*+(?:\)|\z)"
-    return rf"(?:[^;(]++|{group})++"
-
-
-_TOKEN_STATEMENT = _token_statement()
-
-
 def _statement_pattern() -> str:
-    """One statement of raw text: everything up to a semicolon outside parentheses."""
-    tags = iter(range(PAREN_LEVELS + 1))
-    comment = rf"--[^\n]*+|{_nested_comment(4)}"
-
-    def opaque() -> str:
-        tag = f"t{next(tags)}"
-        return "|".join([
-            comment,
-            r"'[^']*+(?:''[^']*+)*+'?+",
-            rf"\$(?<{tag}>(?:{_NAME})?+)\$(?s:.*?)(?:\$\k<{tag}>\$|\z)",
-        ])
-
-    group = rf"\((?:[^)'$/\-]++|{opaque()}|['$/\-])*+(?:\)|\z)"
-    for _ in range(PAREN_LEVELS - 1):
-        group = rf"\((?:[^()'$/\-]++|{opaque()}|{group}|['$/\-])*+(?:\)|\z)"
-    return rf"(?:[^;('$/\-]++|{opaque()}|{group}|[('$/\-])++"
+    """One statement of raw text without parentheses and nested comments."""
+    opaque = "|".join([
+        _COMMENT,
+        r"'[^']*+(?:''[^']*+)*+'?+",
+        rf"\$(?<tag>(?:{_NAME})?+)\$(?s:.*?)(?:\$\k<tag>\$|\z)",
+    ])
+    return rf"(?:[^;'$/\-]++|{opaque}|['$/\-])++"
 
 
 _STATEMENT = _statement_pattern()
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 @cache
 def _whole_word(words: frozenset) -> str:
     """A pattern for exactly these words, grouped by first letter."""
@@ -136,17 +94,18 @@ def _may_hide_text(sql: Column) -> Column:
 
 def tokens_view(sql: Column) -> Column:
     """Text without comments and literal bodies; quoted names stay names."""
+    flat = F.when(nesting.may_nest(sql), nesting.without_comments(sql, names=True)).otherwise(sql)
     return F.when(
         _may_hide_text(sql),
-        F.regexp_replace(sql, _TOKENS, " $1$2$4$5 "),
+        F.regexp_replace(flat, _TOKENS, " $1$2$4$5 "),
     ).otherwise(sql)
 
 
 def split_statements(sql: Column) -> Column:
     """Non-blank statements of a text, as an array in written order."""
-    parts = F.when(
-        sql.contains(";"), F.regexp_extract_all(sql, F.lit(_STATEMENT), F.lit(0)),
-    ).otherwise(F.array(sql))
+    parts = F.when(~sql.contains(";"), F.array(sql)).when(
+        sql.contains("(") | nesting.may_nest(sql), nesting.statements(sql),
+    ).otherwise(F.regexp_extract_all(sql, F.lit(_STATEMENT), F.lit(0)))
     return F.filter(F.transform(parts, _trim_space), lambda s: s != "")
 
 
@@ -156,16 +115,8 @@ def _trim_space(s: Column) -> Column:
 
 def depth_zero(tokens: Column) -> Column:
     """Token view without anything inside parentheses, for any depth of nesting."""
-    def deeper(text: Column) -> Column:
-        openings = F.length(F.regexp_replace(text, r"[^(]++", ""))
-        rounds = F.sequence(F.lit(1), F.greatest(openings, F.lit(1)))
-        stripped = F.aggregate(
-            rounds, text, lambda acc, _: F.regexp_replace(acc, _BALANCED, " "))
-        return F.when(text.rlike(r"\([^()]*+\)"), stripped).otherwise(text)
-
-    no_groups = let(F.regexp_replace(tokens, _BALANCED, " "), deeper)
     return F.when(
-        tokens.contains("("), F.regexp_replace(no_groups, r"(?s)\(.*", " "),
+        tokens.contains("("), F.regexp_replace(nesting.without_groups(tokens), r"(?s)\(.*", " "),
     ).otherwise(tokens)
 
 
@@ -280,9 +231,8 @@ def classify_sql(sql: Column, builtins=()) -> Column:
     quoted names need the raw text, as they do not hide a semicolon.
     """
     def pieces(t: Column) -> Column:
-        return F.when(has_several_statements(t),
-                      F.regexp_extract_all(t, F.lit(_TOKEN_STATEMENT), F.lit(0))) \
-            .otherwise(F.array(t))
+        several = F.when(t.contains("("), nesting.token_statements(t)).otherwise(F.split(t, ";"))
+        return F.when(has_several_statements(t), several).otherwise(F.array(t))
 
     def tokenised(s: Column) -> Column:
         return F.lower(tokens_view(s))
@@ -325,8 +275,9 @@ def matches_any(sql: Column, patterns) -> Column:
 
 def leading_keyword(sql: Column) -> Column:
     """Lower-case leading letters after blanks and comments, '' if other text leads."""
+    flat = F.when(nesting.may_nest(sql), nesting.without_comments(sql)).otherwise(sql)
     return F.lower(F.regexp_extract(
-        sql, rf"\A(?:{_SPACE}++|{_COMMENT})*+([A-Za-z_]++)", 1))
+        flat, rf"\A(?:{_SPACE}++|{_COMMENT})*+([A-Za-z_]++)", 1))
 
 
 def is_transaction_control(sql: Column) -> Column:

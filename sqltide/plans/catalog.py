@@ -336,6 +336,24 @@ def classify_batch(spark, sf):
     return _statements(spark, sf).select("pos", S.classify_sql(F.col("sql")).alias("stmt_class"))
 
 
+def _nested(spark, sf, name):
+    sql = F.col("sql")
+    return table(spark, sf, name).select(
+        "pos", F.size(S.split_statements(sql)).cast("long").alias("statements"),
+        S.classify_sql(sql).alias("stmt_class"), S.classify_batch(sql).alias("batch_class"),
+        S.primary_command(sql).alias("command"))
+
+
+@query
+def deep_parentheses(spark, sf):
+    return _nested(spark, sf, "deep_parentheses")
+
+
+@query
+def deep_comments(spark, sf):
+    return _nested(spark, sf, "deep_comments")
+
+
 @query
 def tx_state(spark, sf):
     return decide.tx_state(decide.with_class(table(spark, sf, "sql_events"))).select(

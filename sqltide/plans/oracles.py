@@ -359,6 +359,13 @@ FROM g LEFT JOIN tx USING (tx_pos) WHERE is_event"""
 _VIEW = ("trim(regexp_replace(regexp_replace(sql, '--[^\\n]*|/\\*[^*]*\\*/|('')(?:[^'']|'''')*''"
          "|(\\$)\\$[^$]*\\$\\$|\"([A-Za-z_]+)\"', ' \\1\\2\\3 ', 'g'), '\\s+', ' ', 'g'))")
 ORACLES["sql_tokens_view"] = f"WITH {EVENTS} SELECT pos, {_VIEW} AS tokens FROM e"
+# What the levels of each text, known from its id, make of it.
+for deep, closed in (("deep_parentheses", "ddl"), ("deep_comments", "dml")):
+    ORACLES[deep] = f"""
+SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END AS statements,
+  CASE WHEN doc_id % 3 = 2 THEN 'plain_select' ELSE '{closed}' END AS stmt_class,
+  CASE WHEN doc_id % 3 = 2 THEN 'plain_select' ELSE '{closed}' END AS batch_class,
+  'select' AS command FROM documents"""
 DOCS = f"e AS ({t('document_sql')})"
 ORACLES["document_tokens_view"] = f"WITH {DOCS} SELECT pos, {_VIEW} AS tokens FROM e"
 ORACLES["split_statements"] = f"""

@@ -163,6 +163,21 @@ SELECT concat('d', CAST(doc_id % 50 AS VARCHAR(20))) AS conn_key, doc_id AS pos,
        concat('INSERT INTO docs VALUES (', CAST(doc_id AS VARCHAR(20)), ', now(), ''',
               replace(text, '''', ''''''), ''') -- ', source) AS sql
 FROM {documents}""",
+
+    # 1 to 60 levels around whole documents: balanced, one sign too many, one too few
+    "deep_parentheses": """
+SELECT doc_id AS pos, concat('select ''', replace(coalesce(text, ''), '''', ''''''), ''', ',
+       repeat('(a ; ', CAST(doc_id % 60 + 1 AS INT)), 'b', repeat(' )', CAST(
+           doc_id % 60 + CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INT)),
+       ' ; drop table t') AS sql
+FROM {documents}""",
+
+    "deep_comments": """
+SELECT doc_id AS pos, concat('select ''', replace(coalesce(text, ''), '''', ''''''), ''' ',
+       repeat('/* it''s ; ', CAST(doc_id % 60 + 1 AS INT)), repeat(' */', CAST(
+           doc_id % 60 + CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INT)),
+       ' ; delete from t') AS sql
+FROM {documents}""",
 }
 
 GIVEN = ("events", "orders", "lineitem", "conversations", "documents")

@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sqltide.functions import nesting
 from sqltide.functions import sqltext as S
 from sqltide.functions.patterns import UnusablePattern, usable
 from sqltide.functions.params import split_params, zip_params
@@ -159,3 +161,60 @@ def test_parameters(spark, formats, want):
     none = spark.sql("SELECT CAST(NULL AS ARRAY<BIGINT>) o, CAST(NULL AS ARRAY<SMALLINT>) f, "
                      "CAST(ARRAY() AS ARRAY<BINARY>) v")
     assert none.select(p.alias("p")).first().p == []
+
+
+def _scanned(sql, names):
+    """Semicolons outside everything, and block comments, letter by letter."""
+    cuts, comments, i, depth = [], [], 0, 0
+    while i < len(sql):
+        c = sql[i]
+        if sql.startswith("--", i):
+            i = (sql + "\n").index("\n", i)
+        elif sql.startswith("/*", i):
+            begin, i, level = i, i + 2, 1
+            while i < len(sql) and level:
+                step = sql[i:i + 2]
+                level += (step == "/*") - (step == "*/")
+                i += 2 if step in ("/*", "*/") else 1
+            comments.append((begin, i))
+        elif c == "'" or (names and c == '"'):
+            end = sql.find(c, i + 1)
+            i = len(sql) if end < 0 else end + 1
+        elif tag := re.match(r"\$(?:[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*)?\$", sql[i:]):
+            end = sql.find(tag[0], i + len(tag[0]))
+            i = len(sql) if end < 0 else end + len(tag[0])
+        else:
+            depth = max(0, depth + (c == "(") - (c == ")"))
+            if c == ";" and not depth:
+                cuts.append((i, i + 1))
+            i += 1
+    return cuts, comments
+
+
+def _pieces(sql, cuts):
+    edges = [0, *(x for cut in cuts for x in cut), len(sql)]
+    return [sql[a:b] for a, b in zip(edges[::2], edges[1::2])]
+
+
+def test_folds_equal_a_scan_letter_by_letter(spark):
+    rng = random.Random(4)
+    signs = ["'", "''", '"', "$", "$$", "$a$", "a", "b1", "1", "(", ")", "(x)", ";", "/*", "*/", "/",
+             "*", "-", "--", "\n", " ", "é"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["", "(" * 3000 + ";" + ")" * 2999 + ";", "/*" * 2000 + "*/" * 2000 + ";x"]
+    assert apply(spark, texts, nesting.statements) == [_pieces(x, _scanned(x, False)[0]) for x in texts]
+    for names in (False, True):
+        assert apply(spark, texts, lambda c, n=names: nesting.without_comments(c, n)) == [
+            " ".join(_pieces(x, _scanned(x, names)[1])) for x in texts]
+
+
+def test_any_depth(spark):
+    texts, want = [], []
+    for n in (1, 13, 17, 60, 500):
+        for more in (-1, 0, 1):
+            texts += ["select " + "(a; " * n + ")" * (n + more) + "; drop table t",
+                      "select 1 " + "/* ; " * n + "*/" * (n + more) + "; delete from t"]
+            want += ["plain_select", "plain_select"] if more < 0 else ["ddl", "dml"]
+    assert apply(spark, texts, S.classify_sql) == want == apply(spark, texts, S.classify_batch)
+    opened = ["/* " * 40 + "*/ " * 40 + "commit", "/* " * 40 + "*/ " * 39 + "commit"]
+    assert apply(spark, opened, S.is_transaction_control) == [True, False]
