@@ -77,21 +77,57 @@ def p99_nearest_rank(times: DataFrame, q: float = 0.99,
          .alias(f"{side}_p99") for side in ("source", "target")])
 
 
+#: Bins of a pass, and where infinite and undefined values go, above all binary exponents.
+BINS, INFINITE, UNDEFINED = 1 << 14, 9998, 9999
+
+
 def _rank_of_all(times: DataFrame, q: float) -> DataFrame:
-    """The value at the nearest rank: that whose share of smaller ones is half a row less, from
-    counts of values, which tasks combine."""
-    sizes = {r.side: r.n for r in times.where(F.col("side").isin("source", "target"))
-             .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = []
-    for side in ("source", "target"):
-        n = sizes.get(side, 0)
-        at = max(0, min(int(q * (n - 1) + 0.5), n - 1))
-        value = F.lit(0.0)
-        if n:
-            value = F.expr(f"percentile_disc({(at + 0.5) / n!r}) WITHIN GROUP "
-                           f"(ORDER BY CASE WHEN side = '{side}' THEN seconds END)")
-        found.append(F.coalesce(F.max(value) if not n else value, F.lit(0.0)).alias(f"{side}_p99"))
-    return times.agg(*found)
+    """The value at the nearest rank of each side, by distributed selection.
+
+    Each pass counts the values per bin, with the smallest and largest in it, and goes on inside
+    the bin that holds the wanted rank: first by binary exponents, then by equal parts of what
+    is left between that bin's ends. Bins never part equal values and each pass has both
+    ends in different bins, so it ends, mostly in three passes. Only counts of bins travel.
+    """
+    x = F.col("seconds")
+    exponent = F.when(F.isnan(x), UNDEFINED).when(x == float("inf"), INFINITE) \
+        .otherwise(F.floor(F.log2(x)).cast("int"))
+    sides = ("source", "target")
+    bins = _bins(times.where(F.col("side").isin(*sides)), exponent)
+    sizes = {side: sum(r.n for r in rows) for side, rows in bins.items()}
+    left = {side: max(0, min(int(q * (n - 1) + 0.5), n - 1)) for side, n in sizes.items()}
+    found = dict.fromkeys(sides, 0.0)
+    while bins:
+        ends = {}
+        for side, rows in bins.items():
+            for r in sorted(rows, key=lambda r: r.bin):
+                if left[side] < r.n:
+                    break
+                left[side] -= r.n
+            if r.bin == UNDEFINED or r.low == r.high:
+                found[side] = r.low
+            else:
+                ends[side] = (r.low, r.high)
+        if not ends:
+            break
+        inside, part = F.lit(False), F.lit(None).cast("int")
+        for side, (low, high) in ends.items():
+            mine = (F.col("side") == side) & x.between(low, high)
+            inside |= mine
+            part = F.when(mine, F.floor((x - low) / (high - low) * BINS).cast("int")).otherwise(part)
+        bins = _bins(times.where(inside), part)
+    return times.sparkSession.range(1).select(
+        *[F.lit(float(found[side])).alias(f"{side}_p99") for side in sides])
+
+
+def _bins(times: DataFrame, bin_: Column) -> dict[str, list]:
+    """Per side, the bins that hold values: at most as many as a pass has."""
+    out: dict[str, list] = {}
+    for r in times.groupBy("side", bin_.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("seconds").alias("low"),
+            F.max("seconds").alias("high")).collect():
+        out.setdefault(r.side, []).append(r)
+    return out
 
 
 def p99_approx(times: DataFrame, q: float = 0.99, accuracy: int = 10_000) -> DataFrame:

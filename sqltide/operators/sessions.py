@@ -26,10 +26,11 @@ CONN = ["conn_key", "life"]
 
 @dataclass(frozen=True)
 class SessionOptions:
-    max_sql_length: int = 1 << 20
+    #: Largest text and bulk load in bytes that become events; 0 is no limit.
+    max_sql_length: int = 0
     extended_query: bool = True
     connection_pooler: bool = False
-    max_copy_bytes: int = 256 << 20
+    max_copy_bytes: int = 0
     builtins: tuple[str, ...] = ()
     autocommit_groups: bool = False
     hot_rows: int = scan.HOT_ROWS
@@ -116,24 +117,31 @@ def annotate(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> Da
 def _real_resets(binds: DataFrame, opts: SessionOptions) -> DataFrame:
     """Binds of prepared resets that find their statement not yet forgotten.
 
-    A bind counts if no counting bind lies between it and its Parse. Each round settles
-    every bind whose gap holds a settled one, or only rejected ones; rounds end when all
-    are settled, which takes one unless prepared resets interleave. Only the few bind rows
-    of reset statements take part.
+    The first bind counts; behind a counting bind, the next that counts is the first whose Parse
+    lies behind it. That successor is a running minimum from the end, over Parses and binds
+    in one order. Those reached from the first are found by doubling: in each round all reached
+    so far jump, and jumps double, so rounds grow with the logarithm of the longest chain. Only
+    the few bind rows of reset statements take part.
     """
-    binds = scan.cut(binds.withColumn("counts", F.lit(None).cast("boolean")))
+    binds = scan.cut(binds)
+    points = binds.groupBy(*CONN, "parsed").agg((-F.min("pos")).alias("first")).select(
+        *CONN, (-F.col("parsed")).alias("__back"), "first").unionByName(binds.select(
+            *CONN, (-F.col("pos")).alias("__back"), F.lit(None).cast("long").alias("first")))
+    jumps = scan.cut(scan.running_by(points, CONN, "__back", {"next": scan.highest(F.col("first"))},
+                                     opts.hot_rows, opts.range_width)
+                     .where("first is null and next is not null")
+                     .select(*CONN, (-F.col("__back")).alias("pos"), (-F.col("next")).alias("to")))
+    reached = scan.cut(binds.groupBy(*CONN).agg(F.min("pos").alias("pos")))
+    n = reached.count()
     while True:
-        may_count = F.coalesce("counts", F.lit(True))
-        seen = scan.running_by(binds, CONN, "pos", {
-            "__maybe": scan.highest(F.when(may_count, F.col("pos"))),
-            "__sure": scan.highest(F.when(F.col("counts"), F.col("pos"))),
-        }, opts.hot_rows, opts.range_width)
-        settled = F.when(F.col("__sure") > F.col("parsed"), False) \
-            .when(F.coalesce("__maybe", F.lit(-1)) <= F.col("parsed"), True)
-        binds = scan.cut(seen.withColumn("counts", F.coalesce("counts", settled))
-                         .drop("__maybe", "__sure"))
-        if binds.where(F.col("counts").isNull()).isEmpty():
-            return binds.where("counts").drop("counts", "parsed")
+        more = reached.join(jumps, [*CONN, "pos"]).select(*CONN, F.col("to").alias("pos"))
+        reached = scan.cut(reached.unionByName(more).distinct())
+        had, n = n, reached.count()
+        if n == had:
+            return binds.join(reached, [*CONN, "pos"], "left_semi").drop("parsed")
+        further = jumps.select(*CONN, F.col("pos").alias("to"), F.col("to").alias("__to"))
+        jumps = scan.cut(jumps.join(further, [*CONN, "to"]).select(
+            *CONN, "pos", F.col("__to").alias("to")))
 
 
 def _annotate(messages: DataFrame, opts: SessionOptions, split: bool,
@@ -185,10 +193,13 @@ def _annotate(messages: DataFrame, opts: SessionOptions, split: bool,
         "copy_id": F.when(copy_open & _kind("c", "d"), F.col("copy.pos")),
         "copy_bytes": F.when(copy_open & _kind("c"), copy_bytes),
     })
+    too_large = F.col("copy_bytes") > opts.max_copy_bytes if opts.max_copy_bytes > 0 else F.lit(False)
+    rows = rows.withColumn("dropped_load", F.coalesce(too_large, F.lit(False)))
     rows = rows.withColumns({
         "is_event": F.coalesce(
             (_kind("Q") & F.col("sql").isNotNull() & ~F.col("copy_start"))
-            | F.col("bound") | (F.col("copy_bytes") <= opts.max_copy_bytes), F.lit(False)),
+            | F.col("bound") | (F.col("copy_bytes").isNotNull() & ~F.col("dropped_load")),
+            F.lit(False)),
         "stmt_class": F.when(_kind("Q"), F.col("text_class"))
             .when(_kind("B"), F.col("def.text_class"))
             .when(_kind("c"), F.lit("copy_from")),
@@ -232,8 +243,8 @@ def _annotate(messages: DataFrame, opts: SessionOptions, split: bool,
 
 # --- single operators ------------------------------------------------------------------------
 
-def extract_statements(messages: DataFrame, max_sql_length: int = 1 << 20) -> DataFrame:
-    """Events of simple queries; texts above the limit (bytes) are left out."""
+def extract_statements(messages: DataFrame, max_sql_length: int = 0) -> DataFrame:
+    """Events of simple queries; texts above a limit (bytes), if there is one, are left out."""
     fits = F.octet_length("sql") <= max_sql_length if max_sql_length > 0 else F.lit(True)
     return _complete(messages).where(_kind("Q") & fits).select(
         *CONN, "pos", "ts", "sql", "database", "db_user")
@@ -273,7 +284,8 @@ def correlate_binds(messages: DataFrame,
 
 
 def assemble_copy(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:
-    """Finished bulk loads with their chunks in order; loads above the cap are left out."""
+    """Finished bulk loads with their chunks in order; loads above a cap, if there is one, are
+    left out and counted by ``parse_error_counts``."""
     in_load = _kind("c", "d") & F.col("copy_id").isNotNull()
     rows = scan.cut(annotate(messages, opts).where(in_load).select(
         *CONN, "pos", "ts", "msg_type", "copy_id", "is_event", "copy_bytes",
@@ -285,7 +297,7 @@ def assemble_copy(messages: DataFrame, opts: SessionOptions = SessionOptions())
 
 
 def _load_data(rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """Chunks per finished load: fetched for kept loads only, so a group stays below the cap."""
+    """Chunks per finished load, fetched for kept loads only; a load is one row of the result."""
     kept = rows.where(_kind("c") & F.col("is_event")).select(*CONN, "copy_id")
     chunks = _complete(messages).where(_kind("d")).select(*CONN, "pos", "chunk")
     return (rows.where(_kind("d")).select(*CONN, "copy_id", "pos")
@@ -327,27 +339,31 @@ def source_exec_time(messages: DataFrame,
 
 def parse_error_counts(messages: DataFrame,
                        opts: SessionOptions = SessionOptions()) -> DataFrame:
-    """Oversized texts and binds without a statement."""
+    """Oversized texts, binds without a statement, and bulk loads above the cap."""
     rows = annotate(messages, opts)
     orphan = _kind("B") & ~F.col("bound")
     return rows.agg(
         F.count_if("oversized").alias("oversized"), F.count_if(orphan).alias("orphan_binds"),
-        F.count_if(F.col("oversized") | orphan).alias("parse_errors"))
+        F.count_if(F.col("oversized") | orphan).alias("parse_errors"),
+        F.count_if("dropped_load").alias("dropped_loads"))
 
 
 def number_transactions(rows: DataFrame, widths=scan.RANGE_WIDTHS) -> DataFrame:
     """Replace group positions by ids 1, 2, .. in order of allocation; 0 is no group.
 
-    ``rows`` needs ``tx_pos`` and ``opens_tx``. A group can be very large, so the small
-    side of the join is the one row per group.
+    ``rows`` needs ``tx_pos`` and ``opens_tx`` and is read more than once. A group can be
+    very large, so events don't meet its id by the group: each range of positions first gets
+    a directory of the groups that its events name, one row for each, and events meet that by
+    range and group. A key then has no more events than a range has positions.
     """
     opened = scan.running_all(
-        rows.where("opens_tx").select(F.col("pos").alias("__group")), "__group",
+        rows.where("opens_tx").select(F.col("pos").alias("tx_pos")), "tx_pos",
         {"tx_id": scan.count_if(F.lit(True), inclusive=True)}, widths)
-    # Events outside a group get a key of their own, or they would meet in one task.
-    group = F.when(F.col("tx_pos") >= 0, F.col("tx_pos")).otherwise(-1 - F.col("pos"))
-    return rows.withColumn("__group", group).join(opened, "__group", "left") \
-        .withColumn("tx_id", F.coalesce("tx_id", F.lit(0))).drop("__group")
+    ranged = rows.withColumn("__range", F.expr(f"pos DIV {widths[0]}"))
+    directory = ranged.where("tx_pos >= 0").select("__range", "tx_pos").distinct() \
+        .join(opened.select("tx_pos", "tx_id"), "tx_pos")
+    return ranged.join(directory, ["__range", "tx_pos"], "left") \
+        .withColumn("tx_id", F.coalesce("tx_id", F.lit(0))).select(*rows.columns, "tx_id")
 
 
 def assign_tx_id(messages: DataFrame, opts: SessionOptions = SessionOptions()) -> DataFrame:

@@ -211,6 +211,11 @@ def capture_loss(spark, sf):
 
 @query
 def extract_statements(spark, sf):
+    return sessions.extract_statements(messages(spark, sf)).select("conn_key", "pos", "sql")
+
+
+@query
+def extract_statements_capped(spark, sf):
     return sessions.extract_statements(messages(spark, sf), max_sql_length=60).select(
         "conn_key", "pos", "sql")
 
@@ -240,7 +245,16 @@ def zip_parameters(spark, sf):
 
 @query
 def assemble_copy(spark, sf):
-    return sessions.assemble_copy(messages(spark, sf), SessionOptions(max_copy_bytes=18)).select(
+    return _loads(messages(spark, sf), SessionOptions())
+
+
+@query
+def assemble_copy_capped(spark, sf):
+    return _loads(messages(spark, sf), SessionOptions(max_copy_bytes=18))
+
+
+def _loads(rows, opts):
+    return sessions.assemble_copy(rows, opts).select(
         "conn_key", "pos", "sql", "copy_bytes", F.size("copy_data").alias("n_chunks"),
         F.array_join(F.transform("copy_data", lambda c: c.cast("string")), "|").alias("data"))
 
@@ -260,6 +274,12 @@ def pooler_sessions(spark, sf):
     return sessions.pooler_sessions(messages(spark, sf)).select("conn_key", "pos", "sess")
 
 
+@query
+def pooler_prepared_resets(spark, sf):
+    return sessions.pooler_sessions(table(spark, sf, "prepared_resets")).select(
+        "conn_key", "pos", "sess")
+
+
 @query
 def source_exec_time(spark, sf):
     return sessions.source_exec_time(messages(spark, sf)).drop("life")
@@ -274,7 +294,13 @@ def dialogue_exec_counts(spark, sf):
 
 @query
 def parse_error_counts(spark, sf):
-    return sessions.parse_error_counts(messages(spark, sf), SessionOptions(max_sql_length=60))
+    return sessions.parse_error_counts(messages(spark, sf))
+
+
+@query
+def parse_error_counts_capped(spark, sf):
+    return sessions.parse_error_counts(
+        messages(spark, sf), SessionOptions(max_sql_length=60, max_copy_bytes=18))
 
 
 @query

@@ -82,7 +82,7 @@ def _last_pos(condition: str, part: str, frame: str = BEFORE) -> str:
 _RESET = "regexp_matches(upper(trim(sql)), '^(DISCARD|RESET|DEALLOCATE) ALL(;|$)')"
 
 
-def _messages(max_sql: int = 1 << 20, max_copy: int = 256 << 20, pooler: bool = False) -> str:
+def _messages(max_sql: int = 1 << 62, max_copy: int = 1 << 62, pooler: bool = False) -> str:
     """CTEs up to ``g``: every message with the state of its connection."""
     on = "true" if pooler else "false"
     return f"""
@@ -301,8 +301,10 @@ WITH c AS ({t('capture_stats')}) SELECT ts, received, dropped,
 
 # --- messages to events ------------------------------------------------------------------------
 
-ORACLES["extract_statements"] = f"""
-WITH m AS ({t('messages')}) SELECT conn_key, pos, sql FROM m WHERE msg_type = 'Q' AND strlen(sql) <= 60"""
+for _capped, _sql_limit in (("", 1 << 62), ("_capped", 60)):
+    ORACLES[f"extract_statements{_capped}"] = f"""
+WITH m AS ({t('messages')}) SELECT conn_key, pos, sql FROM m
+WHERE msg_type = 'Q' AND strlen(sql) <= {_sql_limit}"""
 ORACLES["statement_definitions"] = f"""
 WITH m AS ({t('messages')}) SELECT conn_key, stmt_name, sql, pos AS valid_from,
 lead(pos) OVER (PARTITION BY conn_key, stmt_name ORDER BY pos) AS valid_to FROM m WHERE msg_type = 'P'"""
@@ -314,8 +316,9 @@ WITH m AS ({t('messages')}) SELECT pos, {_params('list_slice([23, pos % 100], 1,
 'list_slice([1, 0, 1], 1, pos % 4)')} AS params,
 CAST(greatest(len(list_slice([23, pos % 100], 1, pos % 3)), len({_VALUES})) AS INT) AS n_params
 FROM m WHERE msg_type = 'B'"""
-ORACLES["assemble_copy"] = f"""
-WITH {_messages(max_copy=18)}, parts AS (SELECT copy_pos, list(chunk ORDER BY pos) AS chunks FROM g
+for _capped, _copy_limit in (("", 1 << 62), ("_capped", 18)):
+    ORACLES[f"assemble_copy{_capped}"] = f"""
+WITH {_messages(max_copy=_copy_limit)}, parts AS (SELECT copy_pos, list(chunk ORDER BY pos) AS chunks FROM g
   WHERE copy_open AND msg_type = 'd' GROUP BY copy_pos)
 SELECT conn_key, pos, ev_sql AS sql, CAST(copy_bytes AS BIGINT) AS copy_bytes,
 CAST(coalesce(len(chunks), 0) AS INT) AS n_chunks, coalesce(array_to_string(chunks, '|'), '') AS data
@@ -337,10 +340,26 @@ WITH m AS ({t('dialogue')}), s AS (SELECT *,
   count(CASE WHEN msg_type = 'Q' THEN 1 END) OVER (PARTITION BY conn_key ORDER BY pos) AS seq FROM m)
 SELECT conn_key, pos, seq, (pos - start_pos) * 1000000000 AS exec_ns FROM s
 WHERE msg_type IN ('C', 'Z') AND NOT from_client AND start_pos > done_pos"""
-ORACLES["parse_error_counts"] = f"""
-WITH {_messages(max_sql=60)} SELECT count(CASE WHEN oversized THEN 1 END) AS oversized,
+for _capped, _sql_limit, _copy_limit in (("", 1 << 62, 1 << 62), ("_capped", 60, 18)):
+    ORACLES[f"parse_error_counts{_capped}"] = f"""
+WITH {_messages(_sql_limit, _copy_limit)} SELECT count(CASE WHEN oversized THEN 1 END) AS oversized,
 count(CASE WHEN msg_type = 'B' AND NOT bound THEN 1 END) AS orphan_binds,
-count(CASE WHEN oversized OR (msg_type = 'B' AND NOT bound) THEN 1 END) AS parse_errors FROM g"""
+count(CASE WHEN oversized OR (msg_type = 'B' AND NOT bound) THEN 1 END) AS parse_errors,
+count(CASE WHEN msg_type = 'c' AND copy_bytes > {_copy_limit} THEN 1 END) AS dropped_loads FROM g"""
+# Binds of resets one after the other, with the last that counted.
+ORACLES["pooler_prepared_resets"] = f"""
+WITH RECURSIVE m AS ({t('prepared_resets')}), d AS (SELECT *,
+  {_last_pos("msg_type = 'P'", "conn_key, coalesce(stmt_name, '')")} AS parsed,
+  coalesce({_last_pos("msg_type = 'Q' AND sql = 'RESET ALL'", "conn_key")}, -1) AS q_reset FROM m),
+c AS (SELECT conn_key, pos, parsed, row_number() OVER (PARTITION BY conn_key ORDER BY pos) AS i
+  FROM d WHERE msg_type = 'B' AND parsed > q_reset),
+walk AS (SELECT conn_key, i, pos, true AS counts, pos AS last FROM c WHERE i = 1 UNION ALL
+  SELECT c.conn_key, c.i, c.pos, c.parsed > w.last, CASE WHEN c.parsed > w.last THEN c.pos ELSE w.last END
+  FROM walk w JOIN c ON c.conn_key = w.conn_key AND c.i = w.i + 1),
+r AS (SELECT m.conn_key, m.pos, coalesce(w.counts, msg_type = 'Q' AND sql = 'RESET ALL') AS resets
+  FROM m LEFT JOIN walk w ON w.conn_key = m.conn_key AND w.pos = m.pos)
+SELECT conn_key, pos, CAST(coalesce(sum(CASE WHEN resets THEN 1 ELSE 0 END) OVER (
+PARTITION BY conn_key ORDER BY pos {BEFORE}), 0) AS BIGINT) AS sess FROM r"""
 ORACLES["message_events"] = f"""
 WITH {_messages()}, lx AS (SELECT conn_key, seq, max_by(exec_ns, pos) AS source_exec_ns FROM x GROUP BY ALL)
 SELECT g.conn_key, pos, ev_sql AS sql, coalesce(tx_id, 0) AS tx_id, CAST(g.seq AS BIGINT) AS seq,

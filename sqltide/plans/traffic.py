@@ -178,6 +178,23 @@ SELECT doc_id AS pos, concat('select ''', replace(coalesce(text, ''), '''', ''''
            doc_id % 60 + CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INT)),
        ' ; delete from t') AS sql
 FROM {documents}""",
+    # resets sent as prepared statements, parsed well before they are bound, names used again
+    "prepared_resets": """
+SELECT concat('c', CAST(o_custkey % 100 AS VARCHAR(20))) AS conn_key, o_orderkey * 16 AS pos,
+       CAST(o_orderdate AS TIMESTAMP) AS ts, true AS from_client, 'P' AS msg_type,
+       'DISCARD ALL' AS sql, concat('s', CAST(o_orderkey % 3 AS VARCHAR(20))) AS stmt_name
+FROM {orders}
+UNION ALL
+SELECT concat('c', CAST(o_custkey % 100 AS VARCHAR(20))),
+       (o_orderkey + 100 * (o_orderkey % 7)) * 16 + 1 + o_orderkey % 7,
+       CAST(o_orderdate AS TIMESTAMP), true, 'B', CAST(NULL AS VARCHAR(20)),
+       concat('s', CAST(o_orderkey % 3 AS VARCHAR(20)))
+FROM {orders}
+UNION ALL
+SELECT concat('c', CAST(o_custkey % 100 AS VARCHAR(20))), o_orderkey * 16 + 12,
+       CAST(o_orderdate AS TIMESTAMP), true, 'Q',
+       CASE WHEN o_orderkey % 50 = 0 THEN 'RESET ALL' ELSE 'SELECT 1' END, CAST(NULL AS VARCHAR(20))
+FROM {orders}""",
 }
 
 GIVEN = ("events", "orders", "lineitem", "conversations", "documents")

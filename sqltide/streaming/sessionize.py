@@ -68,7 +68,7 @@ class ConnectionState(StatefulProcessor):
     """Sequence numbers, transaction group and state, statements, bulk loads, timing."""
 
     def __init__(self, max_copy_bytes: int, idle_seconds: int):
-        self.max_copy_bytes = max_copy_bytes
+        self.max_copy_bytes = max_copy_bytes or float("inf")
         self.idle_ms = idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:

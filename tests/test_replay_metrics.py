@@ -236,3 +236,18 @@ def test_progress_and_staleness(spark):
     assert metrics.is_stale(df.where("kind = 'skipped'"), start, now, 9.5).first().is_stale
     assert metrics.is_stale(df.where("false"), start, now, 9.5).first().is_stale is True
     assert metrics.is_stale(df.where("false"), start, now, 10.0).first().is_stale is False
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
+def test_selection_equals_sorting(spark, q, monkeypatch):
+    """Ties, values far apart, infinite ones, and few bins; no value reaches a single task."""
+    rng = random.Random(8)
+    values = {"source": [rng.lognormvariate(0, 4) for _ in range(500)] + [3.0] * 200 + [5e-324, 1e308],
+              "target": [1.0 + k * 2.0 ** -50 for k in range(300)] + [float("inf")] * 3}
+    rows = [(k, side, v) for side, vs in values.items() for k, v in enumerate([*vs, 0.0, -1.0])]
+    df = spark.createDataFrame(rows, "pos long, side string, seconds double")
+    want = {f"{s}_p99": sorted(v)[min(int(q * (len(v) - 1) + 0.5), len(v) - 1)]
+            for s, v in values.items()}
+    assert metrics.p99_nearest_rank(df, q).first().asDict() == want
+    monkeypatch.setattr(metrics, "BINS", 3)
+    assert metrics.p99_nearest_rank(df, q).first().asDict() == want

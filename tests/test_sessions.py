@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from sqltide import schemas
 from sqltide.operators import sessions as ops
@@ -105,3 +108,59 @@ def test_interleaved_prepared_resets(spark, split):
     assert got == [(e[0], e[2]) for e in events]
     assert sorted((r.pos, r.sess) for r in ops.pooler_sessions(df, opts).collect()) == sessions
     assert ops.parse_error_counts(df, opts).first().parse_errors == errors
+
+
+def _binds(spark, rows):
+    return spark.createDataFrame([("c", 0, p, q) for p, q in rows],
+                                 "conn_key string, life long, pos long, parsed long")
+
+
+def _one_by_one(rows):
+    last, out = -1, []
+    for pos, parsed in sorted(rows):
+        if parsed > last:
+            out.append(pos)
+            last = pos
+    return out
+
+
+def test_chains_of_prepared_resets_double(spark, monkeypatch):
+    """A chain of a thousand counting binds takes rounds by its logarithm, split or not."""
+    cuts, cut = [], ops.scan.cut
+    monkeypatch.setattr(ops.scan, "cut", lambda df: cuts.append(1) or cut(df))
+    rows = [(10 * k + 5, 10 * k) for k in range(1000)]
+    got = sorted(r.pos for r in ops._real_resets(_binds(spark, rows), PLAIN).collect())
+    assert got == _one_by_one(rows) == [p for p, _ in rows]
+    assert len(cuts) <= 3 + 2 * 11
+    rng = random.Random(6)
+    rows = [(10 * k + 5 + rng.randint(0, 3), 10 * rng.randint(max(0, k - 6), k)) for k in range(250)]
+    for opts in (PLAIN, SessionOptions(**SPLIT)):
+        got = sorted(r.pos for r in ops._real_resets(_binds(spark, rows), opts).collect())
+        assert got == _one_by_one(rows)
+
+
+def test_a_group_with_all_rows_meets_its_number_by_range(spark):
+    """No key of the join has more rows than a range of positions."""
+    rows = spark.range(5000).select(
+        F.col("id").alias("pos"), F.when(F.col("id") < 4900, 0).otherwise(-1).alias("tx_pos"),
+        (F.col("id") == 0).alias("opens_tx"), F.lit("x").alias("__group"))
+    rows = rows.unionByName(spark.createDataFrame([(6000, 6000, True, "y"), (6001, 6000, False, "y")],
+                                                  rows.schema))
+    got = ops.number_transactions(rows, widths=(64, 8))
+    assert got.columns == [*rows.columns, "tx_id"]
+    ids = {r.pos: r.tx_id for r in got.collect()}
+    assert len(ids) == 5002 and {ids[k] for k in range(4900)} == {1} and ids[4950] == 0
+    assert ids[6000] == ids[6001] == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__range" in plan or "BroadcastHashJoin [__range" in plan
+
+
+def test_limits_are_off_unless_given(spark):
+    rows = random_messages(11, 600)
+    df = frame(spark, rows)
+    assert ops.parse_error_counts(df).first().oversized == 0
+    free = ops.parse_error_counts(df).first()
+    capped = ops.parse_error_counts(df, SessionOptions(max_sql_length=60, max_copy_bytes=12)).first()
+    assert free.dropped_loads == 0 < capped.dropped_loads and capped.oversized > 0
+    assert ops.assemble_copy(df).count() == ops.assemble_copy(
+        df, SessionOptions(max_copy_bytes=12)).count() + capped.dropped_loads
