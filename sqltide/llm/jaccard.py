@@ -15,7 +15,11 @@ combination: longer ones are split into blocks, and all pairs of blocks become l
 Lists give pairs in two rounds.  In the first each set is paired with its neighbours by size,
 linearly many, and the pairs verified; their links join most copies into components.  In the
 second, all other pairs of a list are verified whose sets lie in different components and whose
-sizes and shared prefix tokens allow a link.  No pair that could change a component is left out.
+sizes, shared prefix tokens and parities allow a link.  The parities of a set are ``BITS`` bits, each
+whether an odd number of its tokens falls there: where two sets' bits differ, some token is in one
+set only, so sets whose bits differ in more places than linked sets may differ in tokens can't
+link, and that shows before a pair leaves its list.  No pair that could change a component is left
+out.
 
 Null and empty texts have no shingles and link with nothing; so do sets too small to differ.
 Texts of fewer words than a shingle are one shingle.  A null id counts as the largest, rows of one
@@ -42,6 +46,8 @@ from sqltide.llm.words import U, mix, window_hashes, word_hashes
 SHARE = 1 / 4000
 #: Sets over this size index frequent tokens singly; most sets in a list of a combination.
 LARGE, LIST = 2000, 20_000
+#: Bits of a set's parities.
+BITS = 512
 #: Tokens counted together in a task; packed entries in a bucket.
 FLUSH, PER_BUCKET = 1 << 21, 1 << 18
 
@@ -62,22 +68,29 @@ def sets_of(batch: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[a:b], size)
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of ``BITS`` places, whether an odd number of tokens falls there."""
+    return np.packbits(np.bincount((tokens >> U(40)).astype(np.int64) % BITS,
+                                   minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def overlap_needed(n, m, percent: int):
     """Smallest intersection with which sets of these sizes link."""
     return -(-percent * (n + m) // (100 + percent))
 
 
 def surveyed(rows: DataFrame, size: int) -> DataFrame:
-    """(key, row, n, digest) for every row, and (token, count) for tokens frequent in a flush."""
+    """(key, row, n, digest, bits) for every row, and (token, count) for tokens frequent in a flush."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, total = [], set(), 0
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, bits = [], [], []
             for tokens in sets_of(batch.column(2), size):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 sizes.append(len(tokens))
                 digests.append(digest)
+                bits.append(parities(tokens))
                 if digest not in seen:
                     seen.add(digest)
                     held.append(tokens)
@@ -85,24 +98,25 @@ def surveyed(rows: DataFrame, size: int) -> DataFrame:
                 if total >= FLUSH:
                     yield frequent(held)
                     held, seen, total = [], set(), 0
-            yield out(batch.column(0), batch.column(1), sizes, digests, None, None)
+            yield out(batch.column(0), batch.column(1), sizes, digests, bits, None, None)
         if held:
             yield frequent(held)
 
     def frequent(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= max(2, len(held) * SHARE / 2)
-        return out(None, None, None, None, tokens[often].view(np.int64), counts[often])
+        return out(None, None, None, None, None, tokens[often].view(np.int64), counts[often])
 
-    def out(key, row, n, digest, token, count):
+    def out(key, row, n, digest, bits, token, count):
         size = len(key if key is not None else token)
         return pa.RecordBatch.from_arrays(
             [pa.nulls(size, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t)
-             for v, t in zip((key, row, n, digest, token, count), kinds, strict=True)],
-            ["key", "row", "n", "digest", "token", "count"])
+             for v, t in zip((key, row, n, digest, bits, token, count), kinds, strict=True)],
+            ["key", "row", "n", "digest", "bits", "token", "count"])
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return rows.mapInArrow(survey, "key long, row long, n long, digest binary, token long, count long")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return rows.mapInArrow(
+        survey, "key long, row long, n long, digest binary, bits binary, token long, count long")
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int):
@@ -256,8 +270,12 @@ def neighbours(index: DataFrame, percent: int, few: int = 2) -> DataFrame:
         F.col("place") <= few).select(F.col("key").alias("a"), F.col("other").alias("b"))
 
 
-def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b) of all pairs in a list that lie in different components and may link."""
+def remaining(index: DataFrame, known: DataFrame, drawn: DataFrame, percent: int,
+              buckets: int) -> DataFrame:
+    """(a, b) of all pairs in a list that lie in different components and may link.
+
+    ``drawn`` has the parities (key, n, bits) of all sets.
+    """
     own = index.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("f"))
     most = own.select("key", shared_at_most().alias("most"))
     tagged = index.join(known.select(F.col("node").alias("key"), "component"), "key", "left") \
@@ -266,6 +284,10 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
     open_lists = tagged.withColumn(
         "mixed", F.min("component").over(spread) != F.max("component").over(spread)) \
         .where("mixed").drop("mixed")
+    # An id with several sets of one size has no parities of its own; null lets its pairs pass.
+    only = drawn.groupBy("key", "n").agg(F.when(F.min("bits") == F.max("bits"), F.min("bits"))
+                                         .alias("bits"))
+    sketched = open_lists.join(only, ["key", "n"], "left")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -282,6 +304,9 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
         if not len(rows):
             return
         mark, kind, key, n, comp, most = (rows.column(k).to_numpy() for k in range(6))
+        bare = rows.column(6).is_null().to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(b"".join(b or bytes(BITS // 8) for b in rows.column(6).to_pylist()),
+                             "<u8").reshape(len(rows), BITS // 64)
         rest = n - np.minimum(n, n - -(-n * percent // 100) + 2)
         ends = np.searchsorted(mark, mark, side="right")
         # By size within the list: the last that is not too large for each.
@@ -301,6 +326,12 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
             ok &= np.minimum(most[left], most[right]) + np.maximum(rest[left], rest[right]) \
                 >= overlap_needed(n[left], n[right], percent)
             left, right = left[ok], right[ok]
+            apart = np.zeros(len(left), dtype=np.int64)
+            for k in range(BITS // 64):
+                apart += np.bitwise_count(bits[left, k] ^ bits[right, k])
+            ok = (apart <= n[left] + n[right] - 2 * overlap_needed(n[left], n[right], percent)) \
+                | bare[left] | bare[right]
+            left, right = left[ok], right[ok]
             begin = end
             if len(left):
                 yield pa.RecordBatch.from_arrays(
@@ -308,7 +339,7 @@ def remaining(index: DataFrame, known: DataFrame, percent: int, buckets: int) ->
                                                   kind[left])], ["a", "b", "n", "m", "c", "f"])
 
     schema = "a long, b long, n long, m long, c long, f long"
-    sums = (open_lists.select("list", "kind", "key", "n", "component", "most")
+    sums = (sketched.select("list", "kind", "key", "n", "component", "most", "bits")
             .repartition(buckets, "list").sortWithinPartitions("list", "n", "key")
             .mapInArrow(pairs, schema).groupBy("a", "b", "n", "m")
             .agg(F.sum("c").alias("c"), F.sum("f").alias("f")))
@@ -372,6 +403,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "do
     survey = cut(surveyed(rows, size))
     known = survey.where("digest is not null").select("key", "row", "n", "digest")
     full = known.where("n > 0")
+    drawn = survey.where("digest is not null and n > 0").select("key", "n", "bits")
     groups = cut(full.groupBy("digest").agg(F.min("key").alias("keep"), F.count("*").alias("copies"),
                                             F.max("n").alias("n")))
     total, tokens = groups.agg(F.count("*"), F.sum("n")).first()
@@ -388,7 +420,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "do
     index = cut(lists(indexed(rows, sent, size, percent, buckets, large, most),
                       percent, buckets).join(searched.select("key").distinct(), "key", "left_semi"))
     edges = verified(cut(neighbours(index, percent)), rows, searched, size, percent)
-    left = cut(remaining(index, components(edges), percent, buckets))
+    left = cut(remaining(index, components(edges), drawn, percent, buckets))
     if not left.isEmpty():
         edges = edges.unionByName(verified(left, rows, searched, size, percent))
     same_id = members.where("key <> keep").select(F.col("keep").alias("a"), F.col("key").alias("b"))
