@@ -12,10 +12,10 @@ and frequent ones in combinations of two (singly in sets over ``LARGE``, whose c
 be many).  A list of the index never holds more than about ``LIST`` sets of a frequent
 combination: longer ones are split into blocks, and all pairs of blocks become lists.
 
-Lists give pairs in two rounds.  In the first each set is paired with its neighbours by size,
-linearly many, and the pairs verified; their links join most copies into components.  In the
-second, all other pairs of a list are verified whose sets lie in different components and whose
-sizes, shared prefix tokens and parities allow a link.  The parities of a set are ``BITS`` bits, each
+Lists give pairs in two rounds.  In the first each set is paired with the nearest of those before it
+in each of its lists, and the nearest few of all lists are verified; their links join most copies into
+components.  In the second, all other pairs of a list are verified whose sets lie in different
+components and whose sizes, shared prefix tokens and parities allow a link.  The parities of a set are ``BITS`` bits, each
 whether an odd number of its tokens falls there: where two sets' bits differ, some token is in one
 set only, so sets whose bits differ in more places than linked sets may differ in tokens can't
 link, and that shows before a pair leaves its list.  No pair that could change a component is left
@@ -37,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqltide.llm.shared import attach, components, cut
+from sqltide.llm.shared import attach, components
 from sqltide.llm.substring import NO_ID, pack, rows_of, unpack
 from sqltide.llm.vocabulary import slices
 from sqltide.llm.words import U, mix, window_hashes, word_hashes
+from sqltide.operators.scan import cut
 
 #: A token is frequent from this share of documents on.
 SHARE = 1 / 4000
@@ -257,17 +258,15 @@ def may_link(percent: int):
     return shared + rest >= F.ceil(percent * (n + m) / (100 + percent))
 
 
-def neighbours(index: DataFrame, percent: int, few: int = 2) -> DataFrame:
-    """(a, b): each set with the ``few`` likeliest of those that come before it in its lists."""
-    order = Window.partitionBy("list").orderBy("n", "key")
-    pairs = index.select("key", "n", "kind", F.lag("key").over(order).alias("other"),
-                         F.lag("n").over(order).alias("m")).where(
-        (F.col("key") != F.col("other")) & (100 * F.col("m") >= percent * F.col("n")))
-    counted = pairs.groupBy("key", "other", "n", "m").agg(
-        F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("f")).where(may_link(percent))
-    best = Window.partitionBy("key").orderBy(F.desc(F.col("c") + F.col("f")), "other")
-    return counted.withColumn("place", F.row_number().over(best)).where(
-        F.col("place") <= few).select(F.col("key").alias("a"), F.col("other").alias("b"))
+def neighbours(index: DataFrame, drawn: DataFrame, percent: int, buckets: int,
+               few: int = 3) -> DataFrame:
+    """(a, b): each set with the ``few`` of those before it in its lists that are nearest to it."""
+    alone = index.withColumns({"component": F.col("key"), "most": F.lit(1 << 30).cast("long")})
+    found = compared(alone, drawn, percent, buckets, nearest=True).groupBy("a", "b").agg(
+        F.min("apart").alias("apart"))
+    best = Window.partitionBy("b").orderBy("apart", "a")
+    return found.withColumn("place", F.row_number().over(best)).where(
+        F.col("place") <= few).select("a", "b")
 
 
 def remaining(index: DataFrame, known: DataFrame, drawn: DataFrame, percent: int,
@@ -284,10 +283,23 @@ def remaining(index: DataFrame, known: DataFrame, drawn: DataFrame, percent: int
     open_lists = tagged.withColumn(
         "mixed", F.min("component").over(spread) != F.max("component").over(spread)) \
         .where("mixed").drop("mixed")
+    sums = compared(open_lists, drawn, percent, buckets).groupBy("a", "b", "n", "m").agg(
+        F.sum("c").alias("c"), F.sum("f").alias("f"))
+    return sums.where(may_link(percent)).select("a", "b")
+
+
+def compared(entries: DataFrame, drawn: DataFrame, percent: int, buckets: int,
+             nearest: bool = False) -> DataFrame:
+    """(a, b, n, m, c, f, apart): the pairs of each list in different components that may link.
+
+    ``entries`` are rows (list, kind, key, n, component, most) of the index; ``most`` bounds the
+    prefix tokens that a set can share.  ``nearest``: of each set's pairs, that with the fewest
+    differing parities among those it comes last in.
+    """
     # An id with several sets of one size has no parities of its own; null lets its pairs pass.
     only = drawn.groupBy("key", "n").agg(F.when(F.min("bits") == F.max("bits"), F.min("bits"))
                                          .alias("bits"))
-    sketched = open_lists.join(only, ["key", "n"], "left")
+    sketched = entries.join(only, ["key", "n"], "left")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -331,19 +343,22 @@ def remaining(index: DataFrame, known: DataFrame, drawn: DataFrame, percent: int
                 apart += np.bitwise_count(bits[left, k] ^ bits[right, k])
             ok = (apart <= n[left] + n[right] - 2 * overlap_needed(n[left], n[right], percent)) \
                 | bare[left] | bare[right]
-            left, right = left[ok], right[ok]
+            left, right, apart = left[ok], right[ok], apart[ok]
             begin = end
+            if nearest and len(left):
+                order = np.lexsort((left, apart, right))
+                order = order[np.flatnonzero(np.diff(right[order], prepend=-1))]
+                left, right, apart = left[order], right[order], apart[order]
             if len(left):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v) for v in _summed(key[left], key[right], n[left], n[right],
-                                                  kind[left])], ["a", "b", "n", "m", "c", "f"])
+                                                  kind[left], apart)],
+                    ["a", "b", "n", "m", "c", "f", "apart"])
 
-    schema = "a long, b long, n long, m long, c long, f long"
-    sums = (sketched.select("list", "kind", "key", "n", "component", "most", "bits")
+    schema = "a long, b long, n long, m long, c long, f long, apart long"
+    return (sketched.select("list", "kind", "key", "n", "component", "most", "bits")
             .repartition(buckets, "list").sortWithinPartitions("list", "n", "key")
-            .mapInArrow(pairs, schema).groupBy("a", "b", "n", "m")
-            .agg(F.sum("c").alias("c"), F.sum("f").alias("f")))
-    return sums.where(may_link(percent)).select("a", "b")
+            .mapInArrow(pairs, schema))
 
 
 def _by_list(mark: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -352,14 +367,17 @@ def _by_list(mark: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (place << 32) + np.minimum(n, (1 << 32) - 1)
 
 
-def _summed(a, b, n, m, kind):
-    """Equal pairs once, with how many single tokens and combinations they share."""
+def _summed(a, b, n, m, kind, apart):
+    """Equal pairs once, with how many single tokens and combinations they share, and how many
+    parities differ at least."""
     order = np.lexsort((m, n, b, a))
     a, b, n, m, kind = a[order], b[order], n[order], m[order], kind[order].astype(np.int64)
+    apart = apart[order]
     fresh = np.flatnonzero((np.diff(a, prepend=a[:1] - 1) != 0) | (np.diff(b, prepend=b[:1]) != 0)
                            | (np.diff(n, prepend=n[:1]) != 0) | (np.diff(m, prepend=m[:1]) != 0))
     return (a[fresh], b[fresh], n[fresh], m[fresh],
-            np.add.reduceat(1 - kind, fresh), np.add.reduceat(kind, fresh))
+            np.add.reduceat(1 - kind, fresh), np.add.reduceat(kind, fresh),
+            np.minimum.reduceat(apart, fresh))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, searched: DataFrame, size: int,
@@ -419,7 +437,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "do
     buckets = max(16, (tokens or 0) * (100 - percent) // 100 // PER_BUCKET)
     index = cut(lists(indexed(rows, sent, size, percent, buckets, large, most),
                       percent, buckets).join(searched.select("key").distinct(), "key", "left_semi"))
-    edges = verified(cut(neighbours(index, percent)), rows, searched, size, percent)
+    edges = verified(cut(neighbours(index, drawn, percent, buckets)), rows, searched, size, percent)
     left = cut(remaining(index, components(edges), drawn, percent, buckets))
     if not left.isEmpty():
         edges = edges.unionByName(verified(left, rows, searched, size, percent))
