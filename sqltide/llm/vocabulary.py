@@ -19,6 +19,7 @@ NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 BLANKS = "\\t-\\r \\x85\\xa0"
 #: Fixed value: the words of byte-level BPE where the tokenizer file names no pattern of its own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
 END, GAP = "\ue000", "\ue001"
 NEVER = np.iinfo(np.int64).max
 
@@ -268,6 +269,10 @@ def simple_pattern(spec: dict) -> re.Pattern | None:
                         (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{NUMBERS}]"),
                         (r"\s", f"[{BLANKS}]"), (r"\S", f"[^{BLANKS}]")):
         pattern = pattern.replace(name, chars)
+    if pattern.startswith(CONTRACTIONS):
+        # No word of letters begins with an apostrophe, so words may be tried first.
+        words, rest = pattern.removeprefix(CONTRACTIONS).split("|", 1)
+        pattern = f"{words}|{CONTRACTIONS}{rest}"
     return re.compile(pattern)
 
 
@@ -277,15 +282,26 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; what each word becomes is remembered, up to ``room`` words."""
+    """Encodes texts; what each word becomes is remembered, up to about ``room`` words.  Beyond
+    that, words met only once go, and of the others the rarer ones if they are over half."""
 
-    def __init__(self, vocab: Vocabulary, room: int = 250_000):
+    def __init__(self, vocab: Vocabulary, room: int = 400_000):
         self.vocab, self.room = vocab, room
-        self._forget()
-
-    def _forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.start, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        least = 2
+        if self.room and np.count_nonzero(self.uses >= least) > self.room // 2:
+            least = int(np.partition(self.uses, -(self.room // 2))[-(self.room // 2)]) + 1
+        kept = np.flatnonzero(self.uses >= least)
+        stays = self.uses >= least
+        # Words stand in the order of their codes, so those that stay are numbered in turn.
+        self.codes = dict(zip([w for w, s in zip(self.codes, stays, strict=True) if s],
+                              range(len(kept)), strict=True))
+        self.flat, self.start = gather(self.flat, self.start, kept, np.ones(len(kept), dtype=int))
+        self.uses = self.uses[kept] // 2
 
     def _learn(self, words: list[str]) -> None:
         tokens, counts = self.vocab.encode_words(words)
@@ -293,6 +309,7 @@ class Encoder:
                               strict=True))
         self.flat = np.concatenate([self.flat, tokens.astype(np.int32)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+        self.uses = np.append(self.uses, np.zeros(len(words), dtype=np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin (one entry more than texts)."""
@@ -310,6 +327,7 @@ class Encoder:
         if new:
             self._learn(new)
         codes = np.fromiter(map(self.codes.__getitem__, every), np.int64, len(every))
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         flat, start = gather(self.flat, self.start, codes, np.array(list(map(len, each)), int))
         if len(parts) > len(texts):
             return self._with_special(parts, of, flat, start, len(texts))
