@@ -47,14 +47,19 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
             out.append(f"[{named[1]}{CLASSES[named[2]]}]" if named[1] else CLASSES[named[2]])
             here += named.end()
         elif char == "\\":
+            blank = pattern.startswith(r"\s", here)
             text, here = _escape(pattern, here)
-            out.append(text)
+            out.append(BLANKS if blank else text)
         else:
             out.append("\\" + char if char in "[&]" else char)
             here += 1
     raise UnusablePattern(f"class without an end in {pattern!r}")
 
 
+#: What ``\\s`` stands for in RE2: no vertical tab.
+BLANKS = r"\t\n\f\r "
+
+
 def _escape(pattern: str, at: int) -> tuple[str, int]:
     char = pattern[at + 1:at + 2]
     if not char:
@@ -66,6 +71,8 @@ def _escape(pattern: str, at: int) -> tuple[str, int]:
             return f"\\{letter}{{Is{script[2]}}}", at + script.end()
     elif char == "v":
         return r"\x0B", at + 2
+    elif char in "sS":
+        return f"[{'^' if char == 'S' else ''}{BLANKS}]", at + 2
     elif char in "123456789" or char.isalnum() and char not in KEPT:
         raise UnusablePattern(f"\\{char} can't be used in {pattern!r}")
     return pattern[at:at + 2], at + 2
@@ -112,8 +119,11 @@ def to_jvm(pattern: str) -> str:
 
 
 def usable(pattern: str) -> str:
-    """``pattern`` for the JVM, compiled there once to be sure; raises :class:`UnusablePattern`."""
-    made = to_jvm(pattern)
+    """``pattern`` for the JVM, compiled there once to be sure; raises :class:`UnusablePattern`.
+
+    Only a line feed ends a line, as in RE2, so a dot goes on behind CR, NEL and the like.
+    """
+    made = "(?d)" + to_jvm(pattern)
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(made)
     except (Py4JJavaError, PySparkException) as error:

@@ -218,3 +218,19 @@ def test_any_depth(spark):
     assert apply(spark, texts, S.classify_sql) == want == apply(spark, texts, S.classify_batch)
     opened = ["/* " * 40 + "*/ " * 40 + "commit", "/* " * 40 + "*/ " * 39 + "commit"]
     assert apply(spark, opened, S.is_transaction_control) == [True, False]
+
+
+def test_patterns_end_lines_as_re2_does(spark):
+    """CR, NEL and the separators are plain characters: neither a mask nor a filter stops at them."""
+    import duckdb
+
+    texts = [f"password = 'abc{sign}def' from secret_t{sign}" for sign in "\r\x85  \x0b\n \t"]
+    patterns = ["password.*", r"abc\sdef", r"abc[\s]def", r"abc\Sdef", "password.*secret_t", "(?m)^def",
+                "(?m)_t$", "secret_t.$"]
+    con = duckdb.connect()
+    for pattern in patterns:
+        want = [con.execute("select regexp_matches($1, $2), regexp_replace($1, $2, '*', 'g')",
+                            [x, pattern]).fetchone() for x in texts]
+        found = apply(spark, texts, lambda c, p=pattern: S.matches_any(c, [p]))
+        masked = apply(spark, texts, lambda c, p=pattern: F.regexp_replace(c, usable(p), "*"))
+        assert list(zip(found, masked, strict=True)) == want, pattern
