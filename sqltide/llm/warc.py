@@ -33,6 +33,8 @@ from sqltide.llm.shared import attach, checkpoint_ready, cut
 REVISIT_FROM = 1000
 #: Bytes of an archive before the next begins, and of a range that one task reads.
 ARCHIVE, RANGE = 64 << 20, 32 << 20
+#: Most tasks of a read.
+TASKS = 50_000
 DATE = "1970-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Longest header that is believed.
@@ -266,8 +268,13 @@ def salvaged(data: Bytes, begin: int, end: int) -> Iterator[tuple]:
         at = after
 
 
-def read(archives: DataFrame, span: int = RANGE, gaps: bool = False) -> DataFrame:
-    """Records of the archives (archive, bytes), or with ``gaps`` what was quarantined."""
+def read(archives: DataFrame, span: int = RANGE, gaps: bool = False,
+         tasks: int = TASKS) -> DataFrame:
+    """Records of the archives (archive, bytes), or with ``gaps`` what was quarantined.
+
+    Each range of ``span`` bytes is a task of its own, up to ``tasks`` of them; beyond that,
+    neighbouring ranges share a task.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,15 +311,17 @@ def read(archives: DataFrame, span: int = RANGE, gaps: bool = False) -> DataFram
         return pa.RecordBatch.from_arrays(
             [pa.array([h[k] for h in held], t) for k, t in enumerate(kinds)], names)
 
-    text, number = pa.string(), pa.int64()
-    kinds = [text, number, number, text] if gaps else \
-        [text, number, text, text, text, text, number, text, pa.binary()]
+    text, whole = pa.string(), pa.int64()
+    kinds = [text, whole, whole, text] if gaps else \
+        [text, whole, text, text, text, text, whole, text, pa.binary()]
     schema = GAPS if gaps else RECORDS
     names = [c.split()[0] for c in schema.split(", ")]
     ranges = archives.where("bytes > 0").select(
         "archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
                                                  F.lit(span).cast("long"))).alias("begin"))
-    return ranges.repartition("archive", "begin").mapInArrow(rows, schema)
+    number = archives.agg(F.sum(F.ceil(F.col("bytes") / span))).first()[0] or 1
+    # A given number is kept by adaptive execution, which would merge these small rows otherwise.
+    return ranges.repartitionByRange(min(number, tasks), "archive", "begin").mapInArrow(rows, schema)
 
 
 def folder(spark: SparkSession) -> str:

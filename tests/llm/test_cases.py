@@ -256,8 +256,10 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         folder = str(tmp_path / f"w{packed}")
         archives = warc.write(warc.planned(rows), folder, compress=packed, most=3000)
         for span in (1 << 20, 700):
-            found = warc.read(archives, span=span).collect()
+            records = warc.read(archives, span=span).withColumn("task", F.spark_partition_id())
+            found = records.collect()
             assert len(found) == len(pages)
+            assert len({r.task for r in found}) == len({(r.archive, r.at // span) for r in found})
             assert sorted((r.record, r.type, r.refers_to or "") for r in found) == sorted(
                 (f"urn:page:{'' if p is None else p}",
                  "revisit" if p in (1, 2) else "response", "urn:page:3" if p in (1, 2) else "")
