@@ -68,6 +68,21 @@ def canonical_conn(segments: DataFrame, server_port: int = 5432) -> DataFrame:
         "conn_key": conn_key(*ends.values())})
 
 
+def named_by_row(segments: DataFrame, server_port: int = 5432) -> DataFrame:
+    """Add ``pair``, equal for both directions, and ``conn_key`` as far as one row can tell it.
+
+    Where no side or both sides use the server port, the sender counts as the client; the
+    ``conn_key`` of a pair's first packet is then the one that ``canonical_conn`` gives.
+    """
+    ip = {c: _unmapped(c) for c in ("src_ip", "dst_ip")}
+    sent = conn_key(ip["src_ip"], F.col("src_port"), ip["dst_ip"], F.col("dst_port"))
+    answered = conn_key(ip["dst_ip"], F.col("dst_port"), ip["src_ip"], F.col("src_port"))
+    answer = (F.col("src_port") == server_port) & (F.col("dst_port") != server_port)
+    return segments.withColumns({
+        "pair": F.concat_ws("|", F.least(sent, answered), F.greatest(sent, answered)),
+        "conn_key": F.when(answer, answered).otherwise(sent)})
+
+
 def order_segments(segments: DataFrame, keys=tuple(STREAM), hot_rows: int = scan.HOT_ROWS,
                    width: int = scan.RANGE_WIDTHS[0],
                    byte_width: int = 1 << 26) -> DataFrame:
@@ -114,6 +129,13 @@ def order_segments(segments: DataFrame, keys=tuple(STREAM), hot_rows: int = scan
     return rows.select(*out, "stream_seq", "status", "new_bytes", "gap_bytes")
 
 
+def does() -> dict[str, Column]:
+    """What a segment does to its connection: ``fin``, ``rst``, ``opening``."""
+    flags = F.upper(F.coalesce("flags", F.lit("")))
+    return {"fin": flags.contains("FIN"), "rst": flags.contains("RST"),
+            "opening": F.coalesce(F.col("len") > 0, F.lit(False)) | flags.contains("SYN")}
+
+
 def assign_life(segments: DataFrame, idle_seconds: int = 300,
                 hot_rows: int = scan.HOT_ROWS,
                 width: int = scan.RANGE_WIDTHS[0]) -> DataFrame:
@@ -122,9 +144,8 @@ def assign_life(segments: DataFrame, idle_seconds: int = 300,
     A life ends after FIN or RST, or after ``idle_seconds`` without a segment. Bare
     acknowledgements behind a FIN still belong to the closed life.
     """
-    flags = F.upper(F.coalesce("flags", F.lit("")))
-    closing = flags.rlike("FIN|RST")
-    opening = (F.col("len") > 0) | flags.contains("SYN")
+    acts = does()
+    closing, opening = acts["fin"] | acts["rst"], acts["opening"]
 
     def lives(rows: DataFrame, split: bool) -> DataFrame:
         rows = scan.running(rows, ["conn_key"], "pos", {
@@ -148,13 +169,13 @@ def connection_sessions(segments: DataFrame, idle_seconds: int = 300,
                         hot_rows: int = scan.HOT_ROWS,
                         width: int = scan.RANGE_WIDTHS[0]) -> DataFrame:
     """One row per life of a connection, with the reason of its end."""
-    flags = F.upper(F.coalesce("flags", F.lit("")))
+    acts = does()
     return assign_life(segments, idle_seconds, hot_rows, width).groupBy("conn_key", "life").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"),
         F.count(F.lit(1)).alias("segments"),
         F.sum(F.col("len").cast("long")).alias("bytes"),
-        F.when(F.bool_or(flags.contains("RST")), "rst")
-         .when(F.bool_or(flags.contains("FIN")), "fin").otherwise("idle").alias("end_reason"))
+        F.when(F.bool_or(acts["rst"]), "rst")
+         .when(F.bool_or(acts["fin"]), "fin").otherwise("idle").alias("end_reason"))
 
 
 def capture_loss(stats: DataFrame, limit: float = DROP_RATE_LIMIT) -> DataFrame:

@@ -85,14 +85,15 @@ def sample_percent(events: DataFrame, percent: float, stable: bool = False,
     """Add ``sampled``: whether the event is inside the replayed share.
 
     Exact mode counts arrivals from 1 and takes those with ``n % 100 < percent``. Stable
-    mode hashes connection and sequence number, needs no order and no shuffle. Shares of
-    0 and of 100 and more take everything.
+    mode hashes connection and sequence number (MD5, first eight digits), needs no
+    order and no shuffle. Shares of 0 and of 100 and more take everything.
     """
     if not 0 < percent < 100:
         return events.withColumn("sampled", F.lit(True))
     if stable:
-        bucket = F.pmod(F.xxhash64("conn_key", "seq" if "seq" in events.columns else "pos"),
-                        F.lit(100))
+        number = F.col("seq" if "seq" in events.columns else "pos").cast("string")
+        digest = F.md5(F.concat_ws("/", "conn_key", number))
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
         return events.withColumn("sampled", bucket < percent)
     counted = scan.running_all(
         events, "pos", {"__n": scan.count_if(F.lit(True), inclusive=True)}, widths)

@@ -21,6 +21,7 @@ from sqltide.plans import pipeline
 from sqltide.plans.traffic import stream, table
 from sqltide.sources import codec, exports, kafka, tables
 from sqltide.streaming import flow
+from sqltide.streaming.lives import stream_connections as closed_lives
 from sqltide.streaming.sessionize import stream_sessionize
 
 QUERIES = {}
@@ -81,6 +82,21 @@ def run_stream(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def run_stateful(df: DataFrame, name: str) -> DataFrame:
+    """The same for streams with state of their own, which only the RocksDB store holds."""
+    spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(
+        key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_stream(df, name)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 # --- sources and sinks -------------------------------------------------------------------
 
 @query
@@ -195,6 +211,13 @@ def order_segments(spark, sf):
         "pos", "conn_key", "from_client", "stream_seq", "status", "new_bytes", "gap_bytes")
 
 
+@query
+def order_segments_by_life(spark, sf):
+    rows = capture.canonical_conn(table(spark, sf, "segments"))
+    return capture.order_segments(capture.assign_life(rows, idle_seconds=20_000)).select(
+        "pos", "life", "stream_seq", "status", "new_bytes", "gap_bytes")
+
+
 @query
 def connection_sessions(spark, sf):
     rows = capture.canonical_conn(table(spark, sf, "segments"))
@@ -757,22 +780,18 @@ def stream_classify_guard(spark, sf):
 
 @query
 def stream_sessionize_events(spark, sf):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(
-        name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = stream(spark, sf, "messages").withColumn("chunk", F.col("chunk").cast("binary"))
-        out = run_stream(stream_sessionize(rows), "sessionize")
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    rows = stream(spark, sf, "messages").withColumn("chunk", F.col("chunk").cast("binary"))
+    out = run_stateful(stream_sessionize(rows), "sessionize")
     return out.where("kind = 'event'").select(
         "conn_key", "pos", "sql", "stmt_class", "seq", "tx_pos", "tx_state")
 
 
+@query
+def stream_connections(spark, sf):
+    out = run_stateful(closed_lives(stream(spark, sf, "segments"), 20_000), "connections")
+    return out.withColumns({"started": ntz("started"), "ended": ntz("ended")})
+
+
 @query
 def stream_metrics(spark, sf):
     rows = flow.stream_classify_guard(stream(spark, sf, "sql_events"))

@@ -268,19 +268,25 @@ CONNS = f"""{SEGMENTS}, u AS (SELECT * EXCLUDE (src_ip, dst_ip), replace(src_ip,
       ELSE a = fa END AS from_client FROM firsts),
   keyed AS (SELECT *, CASE WHEN from_client THEN concat(a, '-', b) ELSE concat(b, '-', a) END AS conn_key FROM conns)"""
 ORACLES["canonical_conn"] = f"WITH {CONNS} SELECT pos, conn_key, from_client FROM keyed"
-ORACLES["order_segments"] = f"""
-WITH {CONNS}, l AS (SELECT *, tcp_seq - lag(tcp_seq) OVER w AS jump FROM keyed WHERE len > 0
-    WINDOW w AS (PARTITION BY conn_key, from_client ORDER BY pos)),
+
+
+def _ordered(source: str, keys: str) -> str:
+    return f"""l2 AS (SELECT *, tcp_seq - lag(tcp_seq) OVER w AS jump FROM {source} WHERE len > 0
+    WINDOW w AS (PARTITION BY {keys} ORDER BY pos)),
   o AS (SELECT *, tcp_seq + 4294967296 * coalesce(sum(CASE WHEN jump < -2147483648 THEN 1
-    WHEN jump > 2147483648 THEN -1 ELSE 0 END) OVER (PARTITION BY conn_key, from_client ORDER BY pos), 0) AS sq FROM l),
-  v AS (SELECT *, max(sq + len) OVER (PARTITION BY conn_key, from_client ORDER BY sq, pos {BEFORE}) AS seen FROM o)
-SELECT pos, conn_key, from_client, CAST(sq AS BIGINT) AS stream_seq,
+    WHEN jump > 2147483648 THEN -1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY pos), 0) AS sq FROM l2),
+  v AS (SELECT *, max(sq + len) OVER (PARTITION BY {keys} ORDER BY sq, pos {BEFORE}) AS seen FROM o)"""
+
+
+_STATUS = """CAST(sq AS BIGINT) AS stream_seq,
   CASE WHEN seen IS NULL THEN 'start' WHEN sq + len <= seen THEN 'duplicate' WHEN sq < seen THEN 'overlap'
        WHEN sq > seen THEN 'gap' ELSE 'next' END AS status,
   CAST(len - coalesce(least(greatest(seen - sq, 0), len), 0) AS BIGINT) AS new_bytes,
-  CAST(coalesce(greatest(sq - seen, 0), 0) AS BIGINT) AS gap_bytes FROM v"""
-ORACLES["connection_sessions"] = f"""
-WITH {CONNS}, l AS (SELECT *, flags LIKE '%FIN%' OR flags LIKE '%RST%' AS closing,
+  CAST(coalesce(greatest(sq - seen, 0), 0) AS BIGINT) AS gap_bytes"""
+ORACLES["order_segments"] = f"""
+WITH {CONNS}, {_ordered("keyed", "conn_key, from_client")}
+SELECT pos, conn_key, from_client, {_STATUS} FROM v"""
+LIVES = f"""{CONNS}, l AS (SELECT *, flags LIKE '%FIN%' OR flags LIKE '%RST%' AS closing,
     len > 0 OR flags LIKE '%SYN%' AS opening FROM keyed),
   b AS (SELECT *, lag(ts) OVER w AS before,
     max(CASE WHEN closing THEN pos END) OVER (PARTITION BY conn_key ORDER BY pos {BEFORE}) AS closed,
@@ -288,10 +294,14 @@ WITH {CONNS}, l AS (SELECT *, flags LIKE '%FIN%' OR flags LIKE '%RST%' AS closin
     FROM l WINDOW w AS (PARTITION BY conn_key ORDER BY pos)),
   n AS (SELECT *, coalesce(ts - before >= INTERVAL 20000 SECONDS, false)
     OR coalesce(opening AND closed >= coalesce(opened, -1), false) AS fresh FROM b),
-  s AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conn_key ORDER BY pos) AS BIGINT) AS life FROM n)
-SELECT conn_key, life, min(ts) AS started, max(ts) AS ended, count(*) AS segments,
-  CAST(sum(len) AS BIGINT) AS bytes, CASE WHEN bool_or(flags LIKE '%RST%') THEN 'rst'
-  WHEN bool_or(flags LIKE '%FIN%') THEN 'fin' ELSE 'idle' END AS end_reason FROM s GROUP BY conn_key, life"""
+  s AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conn_key ORDER BY pos) AS BIGINT) AS life FROM n),
+  lives AS (SELECT conn_key, life, min(ts) AS started, max(ts) AS ended, count(*) AS segments,
+    CAST(sum(len) AS BIGINT) AS bytes, CASE WHEN bool_or(flags LIKE '%RST%') THEN 'rst'
+    WHEN bool_or(flags LIKE '%FIN%') THEN 'fin' ELSE 'idle' END AS end_reason FROM s GROUP BY conn_key, life)"""
+ORACLES["connection_sessions"] = f"WITH {LIVES} SELECT * FROM lives"
+ORACLES["order_segments_by_life"] = f"""
+WITH {LIVES}, {_ordered("s", "conn_key, life, from_client")}
+SELECT pos, life, {_STATUS} FROM v"""
 ORACLES["capture_loss"] = f"""
 WITH c AS ({t('capture_stats')}) SELECT ts, received, dropped,
   greatest(received - lag(received, 1, 0) OVER (ORDER BY ts), 0) AS received_delta,
@@ -459,6 +469,9 @@ ORACLES["mask_sql"] = f"""
 WITH {DOCS} SELECT pos, {masked('sql')} AS sql, {_MASKED.format('sql')} AS masked FROM e"""
 ORACLES["sample_percent"] = f"""
 WITH {EVENTS} SELECT pos, row_number() OVER (ORDER BY pos) % 100 < 35 AS sampled FROM e"""
+ORACLES["sample_percent_stable"] = f"""
+WITH {EVENTS} SELECT pos, conn_key FROM e
+WHERE CAST(concat('0x', substr(md5(concat(conn_key, '/', pos)), 1, 8)) AS BIGINT) % 100 < 35"""
 ORACLES["include_users"] = f"""
 WITH {EVENTS} SELECT pos, db_user, CASE WHEN db_user IN ('User1', 'User5') THEN 'allow' ELSE 'block' END AS guard,
 CASE WHEN db_user NOT IN ('User1', 'User5') THEN 'users' END AS guard_rule FROM e"""
@@ -670,4 +683,9 @@ WITH {EVENTS}, l AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOURS,
 n AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conn_key ORDER BY ts) AS life FROM l),
 s AS (SELECT conn_key, min(ts) AS started, max(ts) AS ended, count(*) AS segments FROM n GROUP BY conn_key, life)
 SELECT * FROM s WHERE ended + INTERVAL 6 HOURS <= {_WATERMARK}"""
+ORACLES["stream_connections"] = f"""
+WITH {LIVES}, last AS (SELECT conn_key, max(life) AS life FROM lives GROUP BY conn_key)
+SELECT lives.* FROM lives LEFT JOIN last USING (conn_key, life)
+WHERE last.life IS NULL OR ended + INTERVAL 20000 SECONDS <= (
+  SELECT max(ts) - INTERVAL 30 SECONDS FROM keyed)"""
 ORACLES["deliver_plan"] = f"WITH {EVENTS} SELECT conn_key AS lane, pos, NOT ({_TX_CONTROL}) AS send FROM e"

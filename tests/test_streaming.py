@@ -1,17 +1,19 @@
 import datetime as dt
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sqltide import schemas
-from sqltide.operators import decide, guard, sessions
+from sqltide.operators import capture, decide, guard, metrics, sessions
 from sqltide.operators.decide import FilterOptions
 from sqltide.operators.guard import GuardOptions
 from sqltide.operators.sessions import SessionOptions
 from sqltide.plans import pipeline
 from sqltide.sources import tables
 from sqltide.streaming import flow
+from sqltide.streaming.lives import stream_connections
 from sqltide.streaming.sessionize import stream_sessionize
 from tests.model import random_messages, replay
 from tests.test_sessions import frame, params
@@ -157,3 +159,49 @@ def test_messages_to_delivered_plan(spark, tmp_path):
     assert sorted((r.pos, r.sql_out, r.db_user) for r in got) == sorted(
         (r.pos, r.sql_out, r.db_user) for r in want)
     assert {r.sql for r in got if not r.send} == {"BEGIN", "COMMIT", "ROLLBACK"}
+
+
+def random_segments(seed, n=400):
+    """Segments of few connections in order of time, with bare acknowledgements behind the end."""
+    rng, t, rows, last = random.Random(seed), 0, [], {}
+    for pos in range(1, n):
+        t += rng.choice([0, 1, 2, 5, 40])
+        port, to_server = 4000 + rng.randrange(5), rng.random() < 0.6
+        server = 5432 if port < 4003 else 6000      # the first packet tells the client of the latter
+        quiet = t - last.get(port, t) >= 60
+        flags = "ACK" if quiet else rng.choice(["ACK", "ack", None, "FIN,ACK", "RST", "SYN"])
+        size = rng.choice([0, 0, 7, None]) if not quiet else 9
+        ends = ("10.0.0.1", port, "10.1.0.1", server)
+        ends = ends if to_server else ends[2:] + ends[:2]
+        rows.append((pos, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), *ends, pos * 10, size, flags, None))
+        last[port] = t
+    end = rows[-1][1] + dt.timedelta(hours=2)
+    return [*rows, (n, end, "10.0.0.9", 9, "10.1.0.1", 5432, 0, 1, "ACK", None)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_lives_close_once_on_a_stream(spark, tmp_path, parts):
+    rows = random_segments(5)
+    size = -(-len(rows) // parts)
+    write_parts([spark.createDataFrame(rows[i:i + size], schemas.SEGMENTS)
+                 for i in range(0, len(rows), size)], f"{tmp_path}/in")
+    segments = spark.readStream.schema(schemas.SEGMENTS).option("maxFilesPerTrigger", 1) \
+        .parquet(f"{tmp_path}/in")
+    out, _ = run(stream_connections(segments, idle_seconds=60), tmp_path)
+    batch = capture.connection_sessions(
+        capture.canonical_conn(spark.createDataFrame(rows, schemas.SEGMENTS)), idle_seconds=60)
+    batch = batch.where("conn_key NOT LIKE '10.0.0.9:%'").fillna(0, ["bytes"])
+    cols = ["started", "ended", "segments", "bytes", "end_reason"]
+    client = F.regexp_extract("conn_key", r"(4\d{3})", 1).alias("client")
+    got, want = (sorted(map(str, r.select(client, *cols).collect())) for r in (out, batch))
+    assert got == want and len({r.end_reason for r in out.collect()}) == 3
+    if parts == 1:
+        assert {(r.conn_key, r.life) for r in out.collect()} == {
+            (r.conn_key, r.life) for r in batch.collect()}
+
+
+def test_nothing_closes_without_segments(spark, tmp_path):
+    write_parts([spark.createDataFrame([], schemas.SEGMENTS)], f"{tmp_path}/in")
+    segments = spark.readStream.schema(schemas.SEGMENTS).parquet(f"{tmp_path}/in")
+    out, _ = run(stream_connections(segments), tmp_path)
+    assert out.count() == 0
