@@ -20,7 +20,7 @@ from sqltide.operators.sessions import SessionOptions
 from sqltide.plans import pipeline
 from sqltide.plans.traffic import stream, table
 from sqltide.sources import codec, exports, kafka, tables
-from sqltide.streaming import flow
+from sqltide.streaming import flow, outcomes
 from sqltide.streaming.lives import stream_connections as closed_lives
 from sqltide.streaming.sessionize import stream_sessionize
 
@@ -184,6 +184,19 @@ def metrics_exposition(spark, sf):
     return exports.metrics_exposition(rows).withColumnRenamed("value", "line")
 
 
+@query
+def health_catalog(spark, sf):
+    events = table(spark, sf, "sql_events")
+    sides = events.withColumn("side", F.when(F.col("db_user") == "User1", "target").otherwise("source"))
+    rows = pipeline.health_catalog(
+        capture.capture_loss(table(spark, sf, "capture_stats")),
+        sessions.parse_error_counts(messages(spark, sf)),
+        replay.queue_depth(table(spark, sf, "flow")),
+        replay.replay_lag(events, F.lit("2024-02-01 00:00:00").cast("timestamp")),
+        metrics.throughput(sides, "1 minute"), metrics.exec_times(table(spark, sf, "line_results")))
+    return rows.select("name", F.col("labels")["side"].alias("side"), "value")
+
+
 # --- captured segments -------------------------------------------------------------------
 
 @query
@@ -805,6 +818,20 @@ def stream_sessions(spark, sf):
     return out.withColumns({"started": ntz("started"), "ended": ntz("ended")})
 
 
+@query
+def stream_outcomes(spark, sf):
+    def side(name):
+        rows = stream(spark, sf, "order_results")
+        return rows.select("conn_key", "event_seq", "ts", F.col(f"{name}_exec_ms").alias("exec_ms"),
+                           F.col(f"{name}_error").alias("error"))
+
+    late = F.make_dt_interval(mins=(F.col("event_seq") % 90).cast("int"))
+    target = side("target").where("exec_ms <= 1500").withColumn("ts", F.col("ts") + late)
+    matched = outcomes.matched_outcomes(side("source"), target, "1 hour")
+    out = run_stream(outcomes.rolling_outcomes(matched, "14 days", "7 days"), "outcomes")
+    return out.withColumns({"from_ts": ntz("from_ts"), "to_ts": ntz("to_ts")})
+
+
 @query
 def deliver_plan(spark, sf):
     path = scratch(spark, "delivered")

@@ -688,4 +688,41 @@ WITH {LIVES}, last AS (SELECT conn_key, max(life) AS life FROM lives GROUP BY co
 SELECT lives.* FROM lives LEFT JOIN last USING (conn_key, life)
 WHERE last.life IS NULL OR ended + INTERVAL 20000 SECONDS <= (
   SELECT max(ts) - INTERVAL 30 SECONDS FROM keyed)"""
+# Windows of 14 days begin every 7 days from the epoch on; outcomes come up to an hour later.
+ORACLES["stream_outcomes"] = f"""
+WITH r AS ({t('order_results')}),
+m AS (SELECT ts, source_exec_ms > 0 AND target_exec_ms > 2 * source_exec_ms AS slow,
+  coalesce(target_error, '') <> '' AND coalesce(source_error, '') = '' AS differs,
+  target_error IS NOT NULL AS failed, target_exec_ms <= 1500 AND event_seq % 90 <= 60 AS ran FROM r),
+w AS (SELECT unnest([epoch(ts)::BIGINT // 604800 - 1, epoch(ts)::BIGINT // 604800]) AS k, * FROM m),
+c AS (SELECT k, count(*) AS n, count(*) FILTER (ran) AS attempts, count(*) FILTER (ran AND failed) AS errors,
+  count(*) FILTER (NOT ran) AS lost, count(*) FILTER (ran AND differs) AS diff_errors,
+  count(*) FILTER (ran AND slow AND NOT differs) AS diff_slow FROM w GROUP BY k)
+SELECT TIMESTAMP '1970-01-01' + k * INTERVAL 7 DAYS AS from_ts, TIMESTAMP '1970-01-01' + (k + 2) * INTERVAL 7 DAYS AS to_ts,
+  attempts, errors, CASE WHEN attempts > 0 THEN errors / attempts ELSE 0.0 END AS error_rate,
+  attempts > 0 AND errors / attempts > 0.01 AS alert, lost, diff_errors, diff_slow,
+  n / 1209600.0 AS source_qps, attempts / 1209600.0 AS target_qps
+FROM c WHERE (k + 2) * 604800 <= (SELECT epoch(max(ts))::BIGINT FROM r) - 3630"""
+_HEALTH = {
+    "packets_received_total": "SELECT sum(received_delta) FROM loss",
+    "packets_dropped_total": "SELECT sum(dropped_delta) FROM loss",
+    "packet_drop_rate": "SELECT max_by(drop_rate, ts) FROM loss",
+    "alert_packet_drop_rate": "SELECT max_by(drop_rate, ts) > 0.001 FROM loss",
+    "parse_errors_total": "SELECT parse_errors FROM bad",
+    "queue_depth": "SELECT max_by(depth, pos) FROM depth",
+    "alert_queue_depth": "SELECT max_by(depth, pos) > 100000 FROM depth",
+    "replay_lag_seconds": "SELECT max_by(lag_s, pos) FROM lag",
+    "alert_replay_lag": "SELECT max_by(lag_s, pos) > 60 FROM lag",
+    "source_qps": "SELECT max_by(n, minute) / 60 FROM speed WHERE side = 'source'",
+    "target_qps": "SELECT max_by(n, minute) / 60 FROM speed WHERE side = 'target'"}
+ORACLES["health_catalog"] = f"""
+WITH {_times('line_results')}, loss AS ({ORACLES['capture_loss']}), bad AS ({ORACLES['parse_error_counts']}),
+depth AS ({ORACLES['queue_depth']}), lag AS ({ORACLES['replay_lag']}),
+speed AS (WITH {EVENTS} SELECT CASE WHEN db_user = 'User1' THEN 'target' ELSE 'source' END AS side,
+  date_trunc('minute', ts) AS minute, count(*) AS n FROM e GROUP BY ALL),
+sums AS (SELECT side, sum(CAST(seconds AS DECIMAL(28, 9))) AS s, count(*) AS n FROM times WHERE seconds > 0 GROUP BY side)
+{" UNION ALL ".join(f"SELECT 'sqltide_{name}' AS name, NULL AS side, CAST(({sql}) AS DOUBLE) AS value"
+                    for name, sql in _HEALTH.items())}
+UNION ALL SELECT 'sqltide_exec_time_seconds_sum', side, CAST(s AS DOUBLE) FROM sums
+UNION ALL SELECT 'sqltide_exec_time_seconds_count', side, CAST(n AS DOUBLE) FROM sums"""
 ORACLES["deliver_plan"] = f"WITH {EVENTS} SELECT conn_key AS lane, pos, NOT ({_TX_CONTROL}) AS send FROM e"

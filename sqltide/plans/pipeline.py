@@ -81,3 +81,53 @@ def metric_catalog(decided: DataFrame, attempts: DataFrame, times: DataFrame,
         f"{prefix}_target_exec_p99_seconds": "target_p99",
         f"{prefix}_alert_target_p99": "alert"})
     return metrics.union_all([counts, outcomes, buckets, ranks])
+
+
+def health_catalog(loss: DataFrame | None = None, parse_errors: DataFrame | None = None,
+                   depth: DataFrame | None = None, lag: DataFrame | None = None,
+                   speed: DataFrame | None = None, times: DataFrame | None = None,
+                   prefix: str = "sqltide") -> DataFrame:
+    """Capture, backlog, lag and throughput as (name, labels, value) rows of what is given.
+
+    Takes the rows of ``capture_loss``, ``parse_error_counts``, ``queue_depth``, ``replay_lag``,
+    ``throughput`` and ``exec_times``. Counters are totals, gauges the latest value in order of
+    ``pos`` or ``ts`` (0 without rows). Times are summed as decimals, so the sum is the same in any order.
+    """
+    def firing(value, limit):
+        return (F.col(value) > limit).cast("double")
+
+    def gauge(rows, value, order, name, alert, limit):
+        last = rows.agg(F.coalesce(F.max_by(value, order), F.lit(0)).alias(value))
+        return metrics.metric_rows(last.withColumn("alert", firing(value, limit)), {
+            f"{prefix}_{name}": value, f"{prefix}_alert_{alert}": "alert"})
+
+    frames = []
+    if loss is not None:
+        totals = loss.agg(*[F.coalesce(F.sum(f"{c}_delta"), F.lit(0)).alias(c)
+                            for c in ("received", "dropped")])
+        frames += [metrics.metric_rows(totals, {f"{prefix}_packets_{c}_total": c
+                                                for c in ("received", "dropped")}),
+                   gauge(loss, "drop_rate", "ts", "packet_drop_rate", "packet_drop_rate",
+                         metrics.DROP_RATE_LIMIT)]
+    if parse_errors is not None:
+        frames.append(metrics.metric_rows(
+            parse_errors, {f"{prefix}_parse_errors_total": "parse_errors"}))
+    if depth is not None:
+        frames.append(gauge(depth, "depth", "pos", "queue_depth", "queue_depth", metrics.DEPTH_LIMIT))
+    if lag is not None:
+        frames.append(gauge(lag, "lag_s", "pos", "replay_lag_seconds", "replay_lag",
+                            metrics.LAG_LIMIT_S))
+    if speed is not None:
+        sides = ("source", "target")
+        last = speed.agg(*[F.coalesce(F.max_by("qps", F.when(F.col("side") == side, F.col("ts"))),
+                                      F.lit(0)).alias(side) for side in sides])
+        frames.append(metrics.metric_rows(last, {f"{prefix}_{side}_qps": side for side in sides}))
+    if times is not None:
+        sums = times.where(F.col("seconds") > 0).groupBy("side").agg(
+            F.sum(F.col("seconds").cast("decimal(28,9)")).alias("sum"),
+            F.count(F.lit(1)).alias("count"))
+        frames.append(metrics.metric_rows(sums, {
+            f"{prefix}_exec_time_seconds_{c}": c for c in ("sum", "count")}, {"side": "side"}))
+    if not frames:
+        raise ValueError("nothing to report")
+    return metrics.union_all(frames)

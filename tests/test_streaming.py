@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqltide import schemas
-from sqltide.operators import capture, decide, guard, metrics, sessions
+from sqltide.operators import capture, decide, guard, sessions
 from sqltide.operators.decide import FilterOptions
 from sqltide.operators.guard import GuardOptions
 from sqltide.operators.sessions import SessionOptions
 from sqltide.plans import pipeline
 from sqltide.sources import tables
-from sqltide.streaming import flow
+from sqltide.streaming import flow, outcomes
 from sqltide.streaming.lives import stream_connections
 from sqltide.streaming.sessionize import stream_sessionize
 from tests.model import random_messages, replay
@@ -205,3 +205,27 @@ def test_nothing_closes_without_segments(spark, tmp_path):
     segments = spark.readStream.schema(schemas.SEGMENTS).parquet(f"{tmp_path}/in")
     out, _ = run(stream_connections(segments), tmp_path)
     assert out.count() == 0
+
+
+def test_outcomes_meet_and_lost_events_come_out(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)     # noqa: E731
+    schema = "conn_key string, event_seq long, ts timestamp, exec_ms double, error string"
+    source = [("a", 1, at(0), 5.0, None), ("a", 2, at(10), 5.0, None), ("a", 3, at(20), 5.0, None),
+              (None, 4, at(30), 5.0, None), ("b", 1, at(65), 5.0, "same"), ("a", None, None, 1.0, None),
+              ("z", 9, at(9000), 1.0, None)]
+    target = [("a", 1, at(3), 50.0, None), ("a", 2, at(5), 5.0, None),      # the latter before its event
+              ("a", 3, at(21), 5.0, "gone"), ("a", 3, at(22), 5.0, None), (None, 4, at(31), 5.0, None),
+              ("b", 1, at(66), 5.0, "same"), ("z", 9, at(9001), 1.0, None)]
+    sides = []
+    for name, rows in (("s", source), ("t", target)):
+        write_parts([spark.createDataFrame(rows[:4], schema), spark.createDataFrame(rows[4:], schema)],
+                    f"{tmp_path}/{name}")
+        sides.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}"))
+    matched = outcomes.matched_outcomes(*sides, within="30 seconds")
+    out, _ = run(outcomes.rolling_outcomes(matched, "1 minute"), tmp_path)
+    got = [((r.from_ts - t0).seconds, r.attempts, r.errors, r.lost, r.diff_errors, r.diff_slow, r.alert)
+           for r in out.orderBy("from_ts").collect()]
+    assert got == [(0, 3, 1, 2, 1, 1, True), (60, 1, 1, 0, 0, 0, True)]
+    first = out.orderBy("from_ts").first()
+    assert (first.error_rate, first.source_qps, first.target_qps) == (1 / 3, 5 / 60, 3 / 60)
