@@ -125,13 +125,17 @@ def bound_of_counts(count: np.ndarray, room: int) -> int:
 
 
 def pack(pieces: DataFrame, room: int = 4096, per_partition: int = PER_PARTITION) -> DataFrame:
-    """``pieces`` with sequence_id and offset; each sequence is gapless and at most ``room``."""
-    pieces = cut(pieces)
+    """``pieces`` with sequence_id and offset; each sequence is gapless and at most ``room``.
+
+    Pieces are dealt by a row number that the cut keeps, so rows without an id and repeated rows
+    spread like all others; which sequence a piece lands in depends on how the table is stored.
+    """
+    pieces = cut(pieces.withColumn("__row", F.monotonically_increasing_id()))
     count = np.zeros(room + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():
         count[r.length] = r["count"]
     least, parts = bound_of_counts(count, room), max(1, -(-int(count.sum()) // per_partition))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(parts)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("__row"), F.lit(parts))).drop("__row")
     placed = cut(dealt.groupBy("part").applyInPandas(lambda rows: packed(rows, room), PLACED))
     settled, level, idle = [], 0, 0
     had = made = 0

@@ -293,6 +293,18 @@ def test_warc_gaps(spark, tmp_path, packed):
         (starts[3], starts[4]), (starts[7], starts[8]), (starts[11], len(raw))}
 
 
+def test_packing_spreads_rows_without_id_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, "same words here")] * 600 + [(7, "one two")] * 600,
+                                 "doc_id long, text string")
+    packed = packing.pack(packing.pieces(rows, WORD, end_id=1, most=100), room=100, per_partition=100)
+    kept = packed.withColumn("part", F.shiftright("sequence_id", 20)).cache()
+    assert kept.count() == 1200 and kept.groupBy("part").count().agg(F.max("count")).first()[0] <= 250
+    spans = kept.groupBy("sequence_id").agg(
+        F.sum("length").alias("sum"), F.max(F.col("offset") + F.col("length")).alias("end"),
+        F.count_distinct("offset").alias("places"), F.count("*").alias("n")).collect()
+    assert all(r["sum"] == r["end"] <= 100 and r["places"] == r["n"] for r in spans)
+
+
 def test_packing(docs, nothing):
     pieces = packing.pieces(docs, WORD, end_id=1, most=100, with_ids=True).cache()
     library = Tokenizer.from_file(WORD)
