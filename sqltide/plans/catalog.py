@@ -19,7 +19,7 @@ from sqltide.operators.guard import GuardOptions
 from sqltide.operators.sessions import SessionOptions
 from sqltide.plans import pipeline
 from sqltide.plans.traffic import stream, table
-from sqltide.sources import codec, exports, kafka, tables
+from sqltide.sources import codec, exports, kafka, log, tables
 from sqltide.streaming import flow, outcomes
 from sqltide.streaming.lives import stream_connections as closed_lives
 from sqltide.streaming.sessionize import stream_sessionize
@@ -125,6 +125,26 @@ def spool_events(spark, sf):
         "conn_key", "pos", "sql")
 
 
+def _logged(records: DataFrame) -> DataFrame:
+    return codec.good_events(codec.decode_events(records)).select(
+        "conn_key", "pos", ntz("ts").alias("ts"), "sql", "db_user")
+
+
+@query
+def event_log(spark, sf):
+    path = scratch(spark, "log")
+    log.append_log(codec.encode_events(table(spark, sf, "sql_events")), path)
+    return _logged(log.read_log(spark, path))
+
+
+@query
+def stream_event_log(spark, sf):
+    path = scratch(spark, "log")
+    events = codec.encode_events(stream(spark, sf, "sql_events"))
+    log.stream_to_log(events, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return _logged(run_stream(log.read_log(spark, f"{path}/log", streaming=True), "log-read"))
+
+
 def _broken_records(spark, sf):
     events = table(spark, sf, "sql_events")
     frames = codec.encode_events(events.withColumn("life", F.lit(0).cast("long")))

@@ -161,6 +161,8 @@ max(pos) AS last_pos FROM m GROUP BY ALL"""
 ORACLES["kafka_frames"] = f"""
 WITH {EVENTS} SELECT conn_key AS key, pos, sql, ts, false AS corrupt FROM e"""
 ORACLES["spool_events"] = f"WITH {EVENTS} SELECT conn_key, pos, sql FROM e"
+ORACLES["event_log"] = f"WITH {EVENTS} SELECT conn_key, pos, ts, sql, db_user FROM e"
+ORACLES["stream_event_log"] = ORACLES["event_log"]
 _BROKEN = f"""{EVENTS}, r AS (SELECT pos % 4 AS partition, pos AS "offset", *,
     db_user IN ('User3', 'User4', 'User5') AS corrupt FROM e)"""
 _RUNS = f"""{_BROKEN}, r1 AS (SELECT *, sum(CASE WHEN corrupt THEN 1 ELSE 0 END) OVER w AS bad,
