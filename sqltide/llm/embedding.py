@@ -15,10 +15,10 @@ the first filter that they share and never leave their task: it puts out each ve
 links and a spanning forest.
 
 Links below the threshold are never reported.  At the defaults and 64 components, a pair just at
-0.93 shares a filter with probability 0.995 among 100,000 vectors of a label, 0.979 among a million,
-0.964 among 10 million and 0.977 among 100 million; a pair at 0.97 with at least 0.997 at all of these
-sizes, nearer ones all but surely.  A vector travels once for each of its filters: 16 up to 7 million
-vectors of a label, 40 at 100 million.
+0.93 shares a filter with probability 0.998 among 5,000 vectors of a label, 0.984 among 100,000, 0.958
+among a million, 0.972 among 10 million and 0.986 among 100 million; a pair at 0.97 with at least 0.995
+at all of these sizes, nearer ones all but surely.  A vector travels once for each of its filters:
+10 up to half a million vectors of a label, 12 at a million, 48 at 100 million.
 
 Null vectors, null labels, zero vectors, and vectors with null or non-finite components link with
 nothing; so do vectors of different length.  Rows with a null id have a class of their own unless
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sqltide.llm.shared import attach, components, cut
 
-BLOCKS, LISTS, BUCKET, BLOCK = 4, 16, 512, 1024
+BLOCKS, LISTS, BUCKET, BLOCK = 4, 10, 512, 1024
 #: Buckets that are split are known by one of this many classes, so that their table has a bound.
 SPLIT_CLASSES = 1 << 20
 NO_ID = (1 << 63) - 1
@@ -63,7 +63,7 @@ def code_size(rows: int, lists: int = LISTS) -> tuple[int, int]:
     """Codewords of a block and filters of a vector, for the most rows of one label."""
     while True:
         codewords = max(4, int(np.ceil((rows * lists / BUCKET) ** (1 / BLOCKS))))
-        grown = int(np.ceil(0.75 * codewords))
+        grown = int(np.ceil(0.85 * codewords))
         if grown <= lists:
             return codewords, lists
         lists = grown
