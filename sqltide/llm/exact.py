@@ -60,5 +60,6 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = groups_of(docs, id_col, text_col).where("kept").select(F.col("id").alias("__kept_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = groups_of(docs, id_col, text_col).where("kept").select(
+        F.col("id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")

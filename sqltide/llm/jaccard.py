@@ -459,6 +459,6 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                     text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class, with all columns."""
     dropped = classes(docs, size, percent, id_col, text_col).where(
-        "key <> component").select(F.col("key").alias("__dropped")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.join(dropped, key == F.col("__dropped"), "left_anti")
+        "key <> component").select(F.col("key").alias("dropped")).distinct()
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    return docs.join(dropped, key == dropped["dropped"], "left_anti")

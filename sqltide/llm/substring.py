@@ -339,12 +339,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           window: int = WINDOW) -> DataFrame:
     """``docs`` with all columns; texts that lose words have the rest joined by one space."""
     found = repeats(docs, id_col, text_col, window).select(
-        F.col("key").alias("__key"), F.col("row").alias("__row"), F.col("whole").alias("__whole"),
-        F.col("blobs").alias("__blobs"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__key")) \
-        & (F.xxhash64(text) == F.col("__row"))
+        *[F.col(c).alias(f"met_{c}") for c in ("key", "row", "whole", "blobs")])
+    text = F.coalesce(docs[text_col], F.lit(""))
+    keyed = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == found["met_key"]) \
+        & (F.xxhash64(text) == found["met_row"])
     met_docs = docs.join(found, keyed, "left")
-    rest = F.when(F.col("__key").isNull(), F.col(text_col)).otherwise(
-        kept_text(F.col(text_col), F.col("__whole"), F.col("__blobs"), window)["text"])
-    return met_docs.select(*[rest.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rest = F.when(found["met_key"].isNull(), docs[text_col]).otherwise(
+        kept_text(docs[text_col], found["met_whole"], found["met_blobs"], window)["text"])
+    return met_docs.select(*[rest.alias(c) if c == text_col else docs[c] for c in docs.columns])
