@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sqltide.llm import exact, jaccard, packing, substring, toxicity
 from sqltide.llm.queries import tokenizer, toxicity_model
-from sqltide.llm.shared import cut
+from sqltide.operators.scan import cut
 
 #: SQL has no merge-based tokens, fitted scores or best-fit packing.
 ORACLE_SQL = None
@@ -56,7 +56,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each cut before the next begins."""
+    """All stages in order, each written as Parquet and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
