@@ -7,7 +7,9 @@ rows.  Weights are fitted by follow-the-regularised-leader with an elastic net,
 and the scores are calibrated by a temperature on a part of the sample that wasn't fitted.
 
 Fitting takes about ``sample`` rows of each language, and no more than ``MOST_ROWS`` in all, by
-hash of their ids; it runs in one task of that bounded size.  Scoring is over whole texts.
+hash of their ids; it runs in one task of that bounded size.  Rows of one id are taken together or not
+at all.  Only the ``MOST_ROWS // 20`` = 1,000 languages with most rows are learned, so that each has 20
+rows at least; texts of others are given one of these.  Scoring is over whole texts.
 
 Null texts and texts without a letter are ``und`` with score 0 and aren't trained on, nor are
 rows with a null language or id.  Without any training row all texts are ``und``.  Ties go to

@@ -3,7 +3,9 @@
 The reader takes an archive in ranges of bytes, each by a task of its own; a record belongs to the
 range it begins in.  Where a gzip member or record fails its checks (lengths, digests, form), it
 searches on for the next place where a member with a version line, or a version line with a whole
-header, begins, goes on from there, and logs the gap it left out as quarantined.
+header, begins, goes on from there, and logs the gap it left out as quarantined.  A header that has not
+ended after ``MOST_HEADER`` = 1 MiB counts as damage; the writer's headers are longer only with a url
+of that length.
 
 The writer makes one record per page, the payload being the html in UTF-8, null as empty.  Of
 pages with equal payloads of at least ``least`` bytes that with the largest id is a response and
