@@ -15,11 +15,13 @@ combination: longer ones are split into blocks, and all pairs of blocks become l
 Lists give pairs in two rounds.  In the first each set is paired with the nearest of those before it
 in each of its lists, and the nearest few of all lists are verified; their links join most copies into
 components.  In the second, all other pairs of a list are verified whose sets lie in different
-components and whose sizes, shared prefix tokens and parities allow a link.  The parities of a set are ``BITS`` bits, each
-whether an odd number of its tokens falls there: where two sets' bits differ, some token is in one
-set only, so sets whose bits differ in more places than linked sets may differ in tokens can't
-link, and that shows before a pair leaves its list.  No pair that could change a component is left
-out.
+components and whose sizes, prefix tokens and parities allow a link.  The parities of a set are at
+least ``BITS`` bits, and at least as many as it has tokens, each whether an odd number of its tokens
+falls there: where two sets' bits differ, some token is in one set only, so sets whose bits differ in
+more places than linked sets may differ in tokens can't link, and that shows before a pair leaves
+its list.  Sets alike share thousands of lists; each set carries the first ``FIRSTS`` of its own, and
+a list leaves a pair to an earlier one that both carry.  No pair that could change a component is
+left out.
 
 Null and empty texts have no shingles and link with nothing; so do sets too small to differ.
 Texts of fewer words than a shingle are one shingle.  A null id counts as the largest, rows of one
@@ -47,8 +49,8 @@ from sqltide.operators.scan import cut
 SHARE = 1 / 4000
 #: Sets over this size index frequent tokens singly; most sets in a list of a combination.
 LARGE, LIST = 2000, 20_000
-#: Bits of a set's parities.
-BITS = 512
+#: Bits of a set's parities, at least; lists of its own that a set carries.
+BITS, FIRSTS = 512, 8
 #: Tokens counted together in a task; packed entries in a bucket.
 FLUSH, PER_BUCKET = 1 << 21, 1 << 18
 
@@ -70,9 +72,47 @@ def sets_of(batch: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def parities(tokens: np.ndarray) -> bytes:
-    """For each of ``BITS`` places, whether an odd number of tokens falls there."""
-    return np.packbits(np.bincount((tokens >> U(40)).astype(np.int64) % BITS,
-                                   minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """For each of some places, whether an odd number of tokens falls there.  The places are
+    ``BITS``, doubled until they are as many as the tokens, 2**24 at most."""
+    places = BITS
+    while places < min(len(tokens), 1 << 24):
+        places *= 2
+    return np.packbits(np.bincount((tokens >> U(40)).astype(np.int64) % places,
+                                   minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: list[bytes | None]) -> tuple[np.ndarray, dict]:
+    """How many times ``BITS`` places each has, and for each such number the parities of all that
+    have as many or more, on so many places: (row of each, words)."""
+    sizes = np.array([len(b or b"") * 8 // BITS for b in bits], dtype=np.int64)
+    tables = {}
+    for width in np.unique(sizes[sizes > 0]):
+        held = np.flatnonzero(sizes >= width)
+        words = np.empty((len(held), width * BITS // 64), dtype="<u8")
+        # Places are taken modulo a power of two, so halves laid on each other give fewer places.
+        for size in np.unique(sizes[held]):
+            rows = np.flatnonzero(sizes[held] == size)
+            whole = np.frombuffer(b"".join(bits[k] for k in held[rows]), "<u8")
+            words[rows] = np.bitwise_xor.reduce(
+                whole.reshape(len(rows), size // width, width * BITS // 64), axis=1)
+        place = np.zeros(len(bits), dtype=np.int64)
+        place[held] = np.arange(len(held))
+        tables[width] = place, words
+    return sizes, tables
+
+
+def differing(sizes: np.ndarray, tables: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many places the parities of each pair differ, on as many as both have."""
+    apart = np.zeros(len(left), dtype=np.int64)
+    both = np.minimum(sizes[left], sizes[right])
+    for width, (place, words) in tables.items():
+        some = np.flatnonzero(both == width)
+        most = max(1, (1 << 19) // words.shape[1])
+        for begin in range(0, len(some), most):
+            part = some[begin:begin + most]
+            apart[part] = np.bitwise_count(
+                words[place[left[part]]] ^ words[place[right[part]]]).sum(axis=1, dtype=np.int64)
+    return apart
 
 
 def overlap_needed(n, m, percent: int):
@@ -249,19 +289,11 @@ def shared_at_most():
         .otherwise(1)
 
 
-def may_link(percent: int):
-    """Whether sets of n and m tokens can link that share c single prefix tokens and f
-    combinations: tokens shared otherwise lie beyond the prefix of one of them."""
-    n, m = F.col("n"), F.col("m")
-    shared = shared_at_most()
-    rest = F.greatest(*[x - F.least(x, x - F.ceil(x * percent / 100) + 2) for x in (n, m)])
-    return shared + rest >= F.ceil(percent * (n + m) / (100 + percent))
-
-
 def neighbours(index: DataFrame, drawn: DataFrame, percent: int, buckets: int,
                few: int = 3) -> DataFrame:
     """(a, b): each set with the ``few`` of those before it in its lists that are nearest to it."""
-    alone = index.withColumns({"component": F.col("key"), "most": F.lit(1 << 30).cast("long")})
+    alone = index.withColumns({"component": F.col("key"), "most": F.lit(1 << 30).cast("long"),
+                               "firsts": F.lit(None).cast("array<long>")})
     found = compared(alone, drawn, percent, buckets, nearest=True).groupBy("a", "b").agg(
         F.min("apart").alias("apart"))
     best = Window.partitionBy("b").orderBy("apart", "a")
@@ -280,21 +312,25 @@ def remaining(index: DataFrame, known: DataFrame, drawn: DataFrame, percent: int
     tagged = index.join(known.select(F.col("node").alias("key"), "component"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key")).join(most, "key")
     spread = Window.partitionBy("list")
-    open_lists = tagged.withColumn(
-        "mixed", F.min("component").over(spread) != F.max("component").over(spread)) \
-        .where("mixed").drop("mixed")
-    sums = compared(open_lists, drawn, percent, buckets).groupBy("a", "b", "n", "m").agg(
-        F.sum("c").alias("c"), F.sum("f").alias("f"))
-    return sums.where(may_link(percent)).select("a", "b")
+    open_lists = cut(tagged.withColumn(
+        "mixed", F.min("component").over(spread) != F.max("component").over(spread))
+        .where("mixed").drop("mixed"))
+    # By size too: of an id with several sets, another may be in the earlier list.
+    firsts = open_lists.groupBy("key", "n").agg(
+        F.slice(F.sort_array(F.collect_set("list")), 1, FIRSTS).alias("firsts"))
+    return compared(open_lists.join(firsts, ["key", "n"]), drawn, percent, buckets) \
+        .select("a", "b").distinct()
 
 
 def compared(entries: DataFrame, drawn: DataFrame, percent: int, buckets: int,
              nearest: bool = False) -> DataFrame:
-    """(a, b, n, m, c, f, apart): the pairs of each list in different components that may link.
+    """(a, b, apart): the pairs of each list in different components that may link, with how many
+    parities differ.
 
-    ``entries`` are rows (list, kind, key, n, component, most) of the index; ``most`` bounds the
-    prefix tokens that a set can share.  ``nearest``: of each set's pairs, that with the fewest
-    differing parities among those it comes last in.
+    ``entries`` are rows (list, key, n, component, most, firsts) of the index; ``most`` bounds the
+    prefix tokens that a set can share.  A pair is left to any earlier list that ``firsts`` of both
+    sets hold: whether it may link does not hang on the list.  ``nearest``: of each set's pairs,
+    that with the fewest differing parities among those it comes last in.
     """
     # An id with several sets of one size has no parities of its own; null lets its pairs pass.
     only = drawn.groupBy("key", "n").agg(F.when(F.min("bits") == F.max("bits"), F.min("bits"))
@@ -315,10 +351,10 @@ def compared(entries: DataFrame, drawn: DataFrame, percent: int, buckets: int,
     def paired(rows):
         if not len(rows):
             return
-        mark, kind, key, n, comp, most = (rows.column(k).to_numpy() for k in range(6))
-        bare = rows.column(6).is_null().to_numpy(zero_copy_only=False)
-        bits = np.frombuffer(b"".join(b or bytes(BITS // 8) for b in rows.column(6).to_pylist()),
-                             "<u8").reshape(len(rows), BITS // 64)
+        mark, key, n, comp, most = (rows.column(k).to_numpy() for k in range(5))
+        bare = rows.column(5).is_null().to_numpy(zero_copy_only=False)
+        sizes, tables = folded(rows.column(5).to_pylist())
+        firsts = [] if nearest else carried(rows.column(6))
         rest = n - np.minimum(n, n - -(-n * percent // 100) + 2)
         ends = np.searchsorted(mark, mark, side="right")
         # By size within the list: the last that is not too large for each.
@@ -338,9 +374,7 @@ def compared(entries: DataFrame, drawn: DataFrame, percent: int, buckets: int,
             ok &= np.minimum(most[left], most[right]) + np.maximum(rest[left], rest[right]) \
                 >= overlap_needed(n[left], n[right], percent)
             left, right = left[ok], right[ok]
-            apart = np.zeros(len(left), dtype=np.int64)
-            for k in range(BITS // 64):
-                apart += np.bitwise_count(bits[left, k] ^ bits[right, k])
+            apart = differing(sizes, tables, left, right)
             ok = (apart <= n[left] + n[right] - 2 * overlap_needed(n[left], n[right], percent)) \
                 | bare[left] | bare[right]
             left, right, apart = left[ok], right[ok], apart[ok]
@@ -349,16 +383,27 @@ def compared(entries: DataFrame, drawn: DataFrame, percent: int, buckets: int,
                 order = np.lexsort((left, apart, right))
                 order = order[np.flatnonzero(np.diff(right[order], prepend=-1))]
                 left, right, apart = left[order], right[order], apart[order]
+            earlier = np.zeros(len(left), dtype=bool)
+            for x in firsts:
+                for y in firsts:
+                    earlier |= (x[left] == y[right]) & (x[left] < mark[left])
+            left, right, apart = left[~earlier], right[~earlier], apart[~earlier]
             if len(left):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v) for v in _summed(key[left], key[right], n[left], n[right],
-                                                  kind[left], apart)],
-                    ["a", "b", "n", "m", "c", "f", "apart"])
-
-    schema = "a long, b long, n long, m long, c long, f long, apart long"
-    return (sketched.select("list", "kind", "key", "n", "component", "most", "bits")
+                    [pa.array(v) for v in _once(key[left], key[right], apart)], ["a", "b", "apart"])
+
+    def carried(held):
+        """The k-th of the lists that each set carries, for each k; the largest number is none."""
+        table = np.full((len(held), FIRSTS), np.iinfo(np.int64).max)
+        sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(held)), sizes)
+        table[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = \
+            held.flatten().to_numpy()
+        return list(table.T)
+
+    return (sketched.select("list", "key", "n", "component", "most", "bits", "firsts")
             .repartition(buckets, "list").sortWithinPartitions("list", "n", "key")
-            .mapInArrow(pairs, schema))
+            .mapInArrow(pairs, "a long, b long, apart long"))
 
 
 def _by_list(mark: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -367,17 +412,12 @@ def _by_list(mark: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (place << 32) + np.minimum(n, (1 << 32) - 1)
 
 
-def _summed(a, b, n, m, kind, apart):
-    """Equal pairs once, with how many single tokens and combinations they share, and how many
-    parities differ at least."""
-    order = np.lexsort((m, n, b, a))
-    a, b, n, m, kind = a[order], b[order], n[order], m[order], kind[order].astype(np.int64)
-    apart = apart[order]
-    fresh = np.flatnonzero((np.diff(a, prepend=a[:1] - 1) != 0) | (np.diff(b, prepend=b[:1]) != 0)
-                           | (np.diff(n, prepend=n[:1]) != 0) | (np.diff(m, prepend=m[:1]) != 0))
-    return (a[fresh], b[fresh], n[fresh], m[fresh],
-            np.add.reduceat(1 - kind, fresh), np.add.reduceat(kind, fresh),
-            np.minimum.reduceat(apart, fresh))
+def _once(a, b, apart):
+    """Equal pairs once, with how many parities differ at least."""
+    order = np.lexsort((apart, b, a))
+    a, b, apart = a[order], b[order], apart[order]
+    fresh = np.flatnonzero((np.diff(a, prepend=a[:1] - 1) != 0) | (np.diff(b, prepend=b[:1]) != 0))
+    return a[fresh], b[fresh], apart[fresh]
 
 
 def verified(pairs: DataFrame, rows: DataFrame, searched: DataFrame, size: int,

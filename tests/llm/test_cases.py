@@ -426,3 +426,47 @@ def test_components(spark):
     found = {r.node: r.component for r in shared.components(edges).collect()}
     assert found == {x: root(x) for a, b in pairs if a != b for x in (a, b)}
     assert shared.components(edges.where("false")).count() == 0
+
+
+def test_jaccard_leaves_pairs_to_one_list(spark, monkeypatch):
+    """Sets that share hundreds of lists leave them as a pair about once."""
+    made = []
+    compared = jaccard.compared
+
+    def counted(*args, nearest=False, **kwargs):
+        found = compared(*args, nearest=nearest, **kwargs).cache()
+        if not nearest:
+            made.append((found.count(), found.select("a", "b").distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "SHARE", 0.05)
+    monkeypatch.setattr(jaccard, "compared", counted)
+    # Any two of the 17 sets share 266 of 334 words, so they barely don't link, and share far
+    # more lists of two frequent words than there are tasks.
+    rows = spark.createDataFrame(
+        [(k, " ".join(f"x{k}y{i}" if i // 17 == k else f"b{i}" for i in range(300)))
+         for k in range(17)], "doc_id long, text string")
+    assert all(r.id == r.component for r in jaccard.report(rows, size=1, percent=80).collect())
+    (count, pairs), = made
+    assert 0 < pairs <= 17 * 16 // 2 and count <= 3 * pairs
+
+
+def test_jaccard_parities_grow_with_the_set():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (40, 700, 5000, 5000)]
+    bits = [jaccard.parities(s) for s in sets] + [None]
+    assert [len(b) * 8 for b in bits[:-1]] == [512, 1024, 8192, 8192]
+    left, right = np.triu_indices(5, 1)
+    apart = jaccard.differing(*jaccard.folded(bits), left, right)
+    for i, j, d in zip(left, right, apart, strict=True):
+        if j == 4:
+            assert d == 0  # none of its own: nothing is known to differ
+            continue
+        size = min(len(bits[i]), len(bits[j])) * 8
+        odd = [np.bincount((s >> np.uint64(40)).astype(int) % size, minlength=size) % 2
+               for s in (sets[i], sets[j])]
+        assert d == (odd[0] != odd[1]).sum()
+        assert d <= len(np.setxor1d(sets[i], sets[j]))
+    # Two long sets without a common token are seen not to link at 80 percent.
+    assert apart[-2] == 0 and apart[list(zip(left, right, strict=True)).index((2, 3))] > \
+        10_000 - 2 * jaccard.overlap_needed(5000, 5000, 80)
