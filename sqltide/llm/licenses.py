@@ -11,7 +11,8 @@ at one place, a match gives way to a better one (higher containment, or equal an
 span covers at least half of its own.
 
 A band can only collide in a window that holds the shingle whose hash is the template's minimum,
-so documents without any such shingle are left out before windows are made; this loses nothing.
+so documents without any such shingle are left out before windows are made, and windows without
+one of a template of their class before their minima are; this loses nothing.
 
 Null and empty texts, and texts or templates of under five words, match nothing.  A null id stays
 null; repeated rows give their own results once, as the rows of one id are one document.  An
@@ -139,16 +140,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     known = described(docs.sparkSession, templates).collect()
     schema = "template int, license string, parts array<long>, size int, minima array<long>"
     few = docs.sparkSession.createDataFrame(known, schema)
-    telling = sorted({min(r.parts, key=dict(zip(r.parts, hashes, strict=True)).get)
-                      for r, bands in zip(known, _hashes(few), strict=True) for hashes in bands})
-    sizes = sorted({r.size for r in known})
+    of_size: dict[int, set[int]] = {}
+    for r, bands in zip(known, _hashes(few), strict=True):
+        of_size.setdefault(r.size, set()).update(
+            min(r.parts, key=dict(zip(r.parts, hashes, strict=True)).get) for hashes in bands)
+    telling, sizes = sorted(set().union(*of_size.values())), sorted(of_size)
     rows = docs.select(F.col(id_col).alias("id"),
                        bound(words(F.col(text_col)), shingles).alias("parts"))
     # Cut, so that no filter drawn from what follows is evaluated over all texts.
     open_rows = cut(rows.where(F.arrays_overlap("parts", F.lit(telling).cast("array<long>")))
                     if telling else rows.limit(0))
-    windows = F.flatten(F.array(*[_places(size) for size in sizes])) if sizes \
-        else F.expr("cast(null as array<struct<size int, at int>>)")
+    windows = F.flatten(F.array(*[_places(size, sorted(of_size[size])) for size in sizes])) \
+        if sizes else F.expr("cast(null as array<struct<size int, at int>>)")
     cut_up = open_rows.select("id", "parts", F.explode_outer(windows).alias("w")).select(
         "id", F.xxhash64("parts").alias("doc"), "w.size", "w.at", F.slice(
             "parts", F.col("w.at") + 1, F.ceil(F.col("w.size") * 3 / 2).cast("int")).alias("window"))
@@ -181,10 +184,18 @@ def _gives_way(m: Column, o: Column) -> Column:
     return (m["license"] != o["license"]) & better & (2 * both >= m["b"] - m["a"] + 1)
 
 
-def _places(size: int) -> Column:
-    """Class and beginning of each window of a class in an array of shingles."""
+def _places(size: int, telling: list[int]) -> Column:
+    """Class and beginning of each window of a class in an array of shingles that holds one of the
+    ``telling`` ones of the class."""
     starts = F.sequence(F.lit(0), F.size("parts") - 1, F.lit(max(1, size // 2)))
-    return F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
+    held = bound(F.array_intersect("parts", F.lit(telling).cast("array<long>")), lambda few: F.filter(
+        starts, lambda at: F.arrays_overlap(F.slice("parts", at + 1, _window(size)), few)))
+    return F.transform(held, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
+
+
+def _window(size: int) -> int:
+    """Shingles in a window of a class."""
+    return -(-size * 3 // 2)
 
 
 def _hashes(few: DataFrame) -> list[list[list[int]]]:

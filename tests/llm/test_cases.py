@@ -86,6 +86,21 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0 and licenses.scan(rows, templates=()).count() == 0
 
 
+def test_licenses_leave_out_windows_without_telling_shingles(spark):
+    """Of a long text, only the windows around a template are made."""
+    gpl = licenses.TEMPLATES[5][1]
+    rows = spark.createDataFrame([(f"{LONG} {gpl} {LONG}",), (LONG,)], "text string").select(
+        licenses.bound(licenses.words(F.col("text")), licenses.shingles).alias("parts"))
+    (template,) = licenses.described(spark, [("gpl", gpl)]).collect()
+    made = rows.select("parts", F.explode(
+        licenses._places(template.size, template.parts)).alias("w")).select("parts", "w.at").collect()
+    width = licenses._window(template.size)
+    starts = range(0, len(made[0].parts), template.size // 2)
+    assert [r.at for r in made] == [
+        at for at in starts if set(made[0].parts[at:at + width]) & set(template.parts)]
+    assert 0 < len(made) < len(starts) // 20
+
+
 def test_licenses_tell_relatives_apart(spark):
     gnu = ("This program is free software; you can redistribute it and/or modify it under the terms "
            "of the GNU {} General Public License as published by the Free Software Foundation; either "
