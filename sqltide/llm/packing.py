@@ -29,6 +29,8 @@ from sqltide.llm.shared import cut
 from sqltide.llm.vocabulary import encoder, slices
 
 PER_PARTITION = 4096
+#: Bytes of text encoded together: what a step costs whatever the number of its words weighs less.
+TOGETHER = 1 << 21
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", offset long, level int, part long, bin long, loose boolean"
 
@@ -41,7 +43,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, most: int = 4096, id_col: st
         coder = encoder(path)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), TOGETHER):
                 flat, start = coder.encode(texts)
                 keys = batch.column(0).slice(at, len(texts))
                 at += len(texts)

@@ -2,9 +2,11 @@
 
 import hashlib
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -485,3 +487,27 @@ def test_jaccard_parities_grow_with_the_set():
     # Two long sets without a common token are seen not to link at 80 percent.
     assert apart[-2] == 0 and apart[list(zip(left, right, strict=True)).index((2, 3))] > \
         10_000 - 2 * jaccard.overlap_needed(5000, 5000, 80)
+
+
+def test_packing_encodes_texts_together(monkeypatch):
+    """Texts of 2 MB go to the encoder at once; how many do doesn't change the pieces."""
+    calls = []
+
+    class Coder:
+        def encode(self, texts):
+            calls.append(len(texts))
+            return np.arange(len(texts)), np.arange(len(texts) + 1)
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(range(400), pa.int64()), pa.array(["x" * 5000] * 400)], ["id", "text"])
+            return list(work(iter([batch])))
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Coder())
+    monkeypatch.setattr(packing.F, "col", lambda name: mock.MagicMock())
+    (made,) = packing.pieces(Docs(), "none", end_id=1)
+    assert calls == [400] and made.num_rows == 400
