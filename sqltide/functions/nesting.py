@@ -78,7 +78,9 @@ def _cuts(pieces: Column, names: bool, comments: bool) -> Column:
         closes = (p == "$") & (s["dollar"] == F.when(s["tag"] == "", 1).otherwise(2))
         dollar = F.when(closes, then(mode=PLAIN)).when(p == "$", then(dollar=1)).when(
             (s["dollar"] == 1) & (p == s["tag"]), then(dollar=2)).otherwise(then())
-        return (F.when(s["mode"] == PLAIN, plain.otherwise(held))
+        # A longer piece is no sign, and only a dollar sign before it gives it a meaning.
+        return (F.when((F.length(p) > 1) & (s["dollar"] == 0), then())
+                .when(s["mode"] == PLAIN, plain.otherwise(held))
                 .when(s["mode"] == BLOCK, block)
                 .when(s["mode"] == DOLLAR, dollar)
                 .when(p == F.when(s["mode"] == LINE, "\n").when(s["mode"] == NAME, '"').otherwise("'"),

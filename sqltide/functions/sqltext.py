@@ -167,9 +167,10 @@ def _primary_of_with(lowered: Column) -> Column:
         rf"{_WORD_STARTS}(select|insert|update|delete){_WORD_ENDS}", 1)
 
 
-def primary_command(sql: Column) -> Column:
-    """First of select/insert/update/delete outside parentheses, '' if there is none."""
-    return _primary_of_with(F.lower(tokens_view(sql)))
+def primary_command(sql: Column, tokens: Column | None = None) -> Column:
+    """First of select/insert/update/delete outside parentheses, '' if there is none.
+    ``tokens``: the text's token view, if there is one already."""
+    return _primary_of_with(F.lower(tokens_view(sql) if tokens is None else tokens))
 
 
 # --- classification --------------------------------------------------------------------
@@ -213,10 +214,11 @@ def classify_single(sql: Column, builtins=()) -> Column:
     return let(F.lower(tokens_view(sql)), lambda t: _class_of_tokens(t, builtins))
 
 
-def classify_batch(sql: Column, builtins=()) -> Column:
-    """Weightiest class among the statements of a text; the first wins a tie."""
-    return _weightiest(
-        F.transform(split_statements(sql), lambda s: classify_single(s, builtins)))
+def classify_batch(sql: Column, builtins=(), statements: Column | None = None) -> Column:
+    """Weightiest class among the statements of a text; the first wins a tie.
+    ``statements``: the text's statements, if it is split already."""
+    parts = split_statements(sql) if statements is None else statements
+    return _weightiest(F.transform(parts, lambda s: classify_single(s, builtins)))
 
 
 def has_several_statements(sql: Column) -> Column:
@@ -224,11 +226,13 @@ def has_several_statements(sql: Column) -> Column:
     return sql.contains(";") & sql.rlike(r";[ \t\n\r]*+[^ \t\n\r;]")
 
 
-def classify_sql(sql: Column, builtins=()) -> Column:
+def classify_sql(sql: Column, builtins=(), tokens: Column | None = None,
+                 statements: Column | None = None) -> Column:
     """Statement class of a text of one or several statements.
 
     The token view is split instead of the raw text, so each text is tokenised once. Only
-    quoted names need the raw text, as they do not hide a semicolon.
+    quoted names need the raw text, as they do not hide a semicolon. ``tokens``, ``statements``:
+    the text's token view and its statements, if there are any already.
     """
     def pieces(t: Column) -> Column:
         several = F.when(t.contains("("), nesting.token_statements(t)).otherwise(F.split(t, ";"))
@@ -239,8 +243,8 @@ def classify_sql(sql: Column, builtins=()) -> Column:
 
     parts = F.when(
         sql.contains('"') & has_several_statements(sql),
-        F.transform(split_statements(sql), tokenised),
-    ).otherwise(let(tokenised(sql), pieces))
+        F.transform(split_statements(sql) if statements is None else statements, tokenised),
+    ).otherwise(let(tokenised(sql) if tokens is None else F.lower(tokens), pieces))
     classes = F.transform(parts, lambda t: _class_of_tokens(t, builtins))
     return let(classes, lambda c: F.when(F.size(c) == 1, c[0]).otherwise(_weightiest(c)))
 

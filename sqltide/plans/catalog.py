@@ -419,11 +419,15 @@ def classify_batch(spark, sf):
 
 
 def _nested(spark, sf, name):
-    sql = F.col("sql")
-    return table(spark, sf, name).select(
-        "pos", F.size(S.split_statements(sql)).cast("long").alias("statements"),
-        S.classify_sql(sql).alias("stmt_class"), S.classify_batch(sql).alias("batch_class"),
-        S.primary_command(sql).alias("command"))
+    sql, parts, tokens = F.col("sql"), F.col("parts"), F.col("tokens")
+    # Used several times, so each text is folded once for its statements and once for its tokens.
+    read = table(spark, sf, name).select(
+        "pos", "sql", S.split_statements(sql).alias("parts"), S.tokens_view(sql).alias("tokens"))
+    return read.select(
+        "pos", F.size(parts).cast("long").alias("statements"),
+        S.classify_sql(sql, tokens=tokens, statements=parts).alias("stmt_class"),
+        S.classify_batch(sql, statements=parts).alias("batch_class"),
+        S.primary_command(sql, tokens=tokens).alias("command"))
 
 
 @query

@@ -234,3 +234,28 @@ def test_patterns_end_lines_as_re2_does(spark):
         found = apply(spark, texts, lambda c, p=pattern: S.matches_any(c, [p]))
         masked = apply(spark, texts, lambda c, p=pattern: F.regexp_replace(c, usable(p), "*"))
         assert list(zip(found, masked, strict=True)) == want, pattern
+
+
+def test_nested_texts_are_split_once(spark, tmp_path, monkeypatch):
+    """A query of several facts folds each text once for its statements and once for its tokens."""
+    from sqltide.functions import nesting, sqltext
+    from sqltide.plans import catalog
+
+    spark.createDataFrame([(k, f'it\'s "{k}" (;) /* ; */') for k in range(6)],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = []
+    whole = nesting.statements
+    monkeypatch.setattr(nesting, "statements", lambda sql: calls.append(1) or whole(sql))
+    rows = catalog.deep_comments(spark, str(tmp_path)).collect()
+    assert len(calls) == 1
+    assert {(r.pos, r.statements, r.stmt_class, r.batch_class, r.command) for r in rows} == {
+        (k, 1 if k % 3 == 2 else 2, *["plain_select" if k % 3 == 2 else "dml"] * 2, "select")
+        for k in range(6)}
+    # Views and statements made before give what the text alone gives.
+    sql = F.lit("select 1; /* a /* b */ ; */ delete from \"t\"; commit")
+    parts, tokens = sqltext.split_statements(sql), sqltext.tokens_view(sql)
+    one = spark.range(1).select(
+        (sqltext.classify_sql(sql) == sqltext.classify_sql(sql, tokens=tokens, statements=parts)),
+        (sqltext.classify_batch(sql) == sqltext.classify_batch(sql, statements=parts)),
+        (sqltext.primary_command(sql) == sqltext.primary_command(sql, tokens=tokens))).first()
+    assert all(one)
