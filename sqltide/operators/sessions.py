@@ -318,10 +318,12 @@ def assign_seq(messages: DataFrame, opts: SessionOptions = SessionOptions()) ->
 def pooler_sessions(messages: DataFrame,
                     opts: SessionOptions = SessionOptions(connection_pooler=True)) -> DataFrame:
     """Every message with the number of its pooler session on the connection."""
-    rows = annotate(messages, opts)
-    return scan.running_by(
-        rows.select(*CONN, "pos", "msg_type", "resets"), CONN, "pos",
-        {"sess": scan.count_if(F.col("resets"))}, opts.hot_rows, opts.range_width,
+    rows = annotate(messages, opts).select(*CONN, "pos", "msg_type", "resets")
+    # All messages are still there, so their connections are counted without annotating them.
+    hot = scan.find_hot(_complete(messages), CONN, opts.hot_rows)
+    specs = {"sess": scan.count_if(F.col("resets"))}
+    return scan.by_heat(rows, CONN, hot, lambda part, split: scan.running(
+        part, CONN, "pos", specs, split, opts.range_width).select(*rows.columns, *specs),
     ).withColumn("sess", F.coalesce("sess", F.lit(0)))
 
 

@@ -164,3 +164,20 @@ def test_limits_are_off_unless_given(spark):
     assert free.dropped_loads == 0 < capped.dropped_loads and capped.oversized > 0
     assert ops.assemble_copy(df).count() == ops.assemble_copy(
         df, SessionOptions(max_copy_bytes=12)).count() + capped.dropped_loads
+
+
+def test_pooler_sessions_count_connections_without_annotating(spark, monkeypatch):
+    from sqltide.operators import scan, sessions
+
+    asked = []
+    find = scan.find_hot
+    monkeypatch.setattr(scan, "find_hot", lambda df, *args: asked.append(df.columns) or find(df, *args))
+    rows = spark.createDataFrame(
+        [("c", k, True, "Q", s) for k, s in enumerate(["select 1", "DISCARD ALL", "select 2"])],
+        "conn_key string, pos long, from_client boolean, msg_type string, sql string").selectExpr(
+        "*", "timestamp_seconds(pos) AS ts")
+    for hot in (4_000_000, 1):
+        opts = sessions.SessionOptions(connection_pooler=True, hot_rows=hot)
+        found = sessions.pooler_sessions(rows, opts).collect()
+        assert sorted((r.pos, r.sess) for r in found) == [(0, 0), (1, 0), (2, 1)]
+    assert asked and not any("resets" in columns for columns in asked)
